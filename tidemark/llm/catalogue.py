@@ -1,10 +1,13 @@
 """The queries of this subpackage and the SQL that some of them have."""
 
-from tidemark.llm import licenses, packing, token_counts
+from tidemark.llm import decontamination, licenses, packing, quality, simhash, token_counts
 
 QUERIES = {
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_pack_sequences": packing.op7_pack_sequences,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLES = {"op10_license_scan": licenses.SQL}
+ORACLES = {"op2_quality_rules": quality.SQL, "op10_license_scan": licenses.SQL}
