@@ -1,8 +1,59 @@
-"""Corpus pipeline (stages follow with their operators)."""
+"""Corpus pipeline: language, lines, near-duplicates, benchmark passages, packed sequences.
 
-STAGES: list = []
+Each stage takes the documents that its predecessor kept, all of them, and writes its result before
+the next one reads it. ``run`` does the same through the folder that the cluster shares.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm.common import load, release, stage_path
+from tidemark.llm.decontamination import drop_contaminated
+from tidemark.llm.language import keep_identified
+from tidemark.llm.line_dedup import drop_lines
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.simhash import keep_one
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: No SQL: a trained network and Hamming components are beyond it; tests compare with brute force.
 ORACLE_SQL = None
 
+#: Where ``run`` has put the documents of the stage at work.
+_documents: list[str] = []
+
+
+def _stage(work: Stage) -> Stage:
+    def start(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, tuple(_documents))  # what earlier stages staged; their results are written
+        return work(spark, docs, sf_dir)
+
+    return start
+
+
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", _stage(keep_identified)),
+    ("line_dedup", _stage(drop_lines)),
+    ("simhash_near_dedup", _stage(keep_one)),
+    ("benchmark_decontamination", _stage(drop_contaminated)),
+    ("packing", _stage(_pack)),
+]
+
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = stage_path(spark, name)
+        kept = stage(spark, docs, sf_dir)
+        _documents.append(path)
+        kept.write.parquet(path)
+        del _documents[:-1]  # the documents before may go once this stage is written
+        docs = spark.read.schema(kept.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Staged tables of this driver that may be removed once their readers are done.
+_STAGED: list[str] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -48,14 +54,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Remove the staged tables so far. Only for callers who have written all that reads them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _STAGED if p not in keep]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        _STAGED.remove(path)
+
+
 def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+    names = {f.rsplit("/", 2)[1] for frame in frames for f in frame.inputFiles()}
+    release(spark, tuple(p for p in _STAGED if p.rsplit("/", 1)[1] not in names))
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
