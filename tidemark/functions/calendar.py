@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
 
-HOUR = F.expr("interval 1 hour")
+
+
+def one_hour() -> Column:
+    return F.expr("interval 1 hour")
+
 # How each holiday's date follows from its year.
 HOLIDAY_DATES = {
     "new_year": "make_date({y}, 1, 1)",
@@ -31,7 +35,7 @@ def expected_hours(day: Column, tz: str = DEFAULT.tz) -> Column:
 
 def local_hours(day: Column, tz: str = DEFAULT.tz) -> Column:
     """All UTC hours of a local day, in order."""
-    return F.sequence(local_midnight_utc(day, tz), local_midnight_utc(F.date_add(day, 1), tz) - HOUR, HOUR)
+    return F.sequence(local_midnight_utc(day, tz), local_midnight_utc(F.date_add(day, 1), tz) - one_hour(), one_hour())
 
 
 def cutoff_utc(day: Column, hour: int = DEFAULT.cutoff_local_hour, tz: str = DEFAULT.tz) -> Column:

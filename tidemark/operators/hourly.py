@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, FeedConfig
-from tidemark.functions.calendar import HOUR, expected_hours
+from tidemark.functions.calendar import expected_hours, one_hour
 from tidemark.operators.quality import above_record
 
 #: Hours of one stretch; the halo's share of rows is its hours over this.
@@ -36,7 +36,7 @@ def hour_spine(wide: DataFrame) -> DataFrame:
     ends = wide.groupBy(REGION).agg(F.min(TIME).alias("low"), F.max(TIME).alias("high"))
     every = Window.partitionBy()
     common = ends.select(REGION, F.min("low").over(every).alias("low"), F.max("high").over(every).alias("high"))
-    return common.select(REGION, F.explode(F.sequence("low", "high", HOUR)).alias(TIME))
+    return common.select(REGION, F.explode(F.sequence("low", "high", one_hour())).alias(TIME))
 
 
 def attach_spine(wide: DataFrame, config: FeedConfig = DEFAULT) -> DataFrame:
