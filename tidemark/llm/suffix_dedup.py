@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, small_batches, staged, worker_cache
+from tidemark.llm.common import drop_staged, load, small_batches, staged, worker_cache
 
 MATCH = 400
 GRAM = 64
 HALF = MATCH // 2
+#: Windows of an anchor are taken in groups of so many neighbours, which share all but STEP - 1 bytes.
+STEP = 50
 BATCHES = 4
 #: Bytes that are hashed at once; places in such a stretch take PLACE_BITS bits.
 STRETCH = 1 << 24
@@ -109,7 +111,7 @@ def anchors_of(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> dict[st
     first, last = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1]
     at, owner = at[new], owner[new]
     context = mixed(coder.of(sums, first, last - first + MATCH) + mixed(((at - first) * (1 << 20) + (last - first)).astype(np.uint64)))
-    has_ahead, has_behind = last >= at - HALF, first <= at - HALF
+    has_ahead, has_behind = last > at - HALF, first <= at - HALF
     ahead = coder.of(sums, np.where(has_ahead, at, 0), np.where(has_ahead, HALF, 0))
     behind = coder.of(sums, np.where(has_behind, at - HALF, 0), np.where(has_behind, HALF, 0))
     begin = begins[owner]
@@ -211,15 +213,54 @@ def few_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.withColumn("near", F.coalesce(F.getbit(octet, F.pmod("bit", F.lit(8)).cast("int")) == 1, F.lit(False))).drop("slot", "bit", "map")
 
 
+def _digests_at(text: bytes, low: int, high: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places from low to high and the digests of ``length`` bytes from each."""
+    raw = np.frombuffer(text, np.uint8)[low : high + length]
+    coder = digests_for(len(raw))
+    at = np.arange(high - low + 1)
+    return at + low, coder.of(coder.sums(raw), at, length).view(np.int64)
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each group of STEP neighbouring windows has in common. Groups lie at multiples of STEP from the anchor, so equal windows are in equal groups."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], [], []]
+        for row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "wanted"))):
+            for item in wanted:
+                first_group, last_group = (item["at"] - item["high"]) // STEP, (item["at"] - item["low"]) // STEP
+                groups = np.arange(last_group, first_group - 1, -1)
+                ends = item["at"] - groups * STEP  # windows that start in (end - STEP, end]
+                raw = np.frombuffer(text, np.uint8)[ends[0] : ends[-1] + MATCH - STEP + 1]
+                coder = digests_for(len(raw))
+                found = coder.of(coder.sums(raw), ends - ends[0], MATCH - STEP + 1).view(np.int64) ^ groups
+                lows, highs = np.maximum(item["low"], ends - STEP + 1), np.minimum(item["high"], ends)
+                for column, values in zip(out, (found.tolist(), [item["context"]] * len(groups), [row] * len(groups), [item["first"]] * len(groups), lows.tolist(), highs.tolist())):
+                    column.extend(values)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["core", "context", "row", "first", "low", "high"])
+
+
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        digests, contexts, shifts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             for item in wanted:
-                first, low, high = item["first"], item["low"], item["high"]
-                raw = np.frombuffer(text, np.uint8)[low : high + MATCH]
-                coder = digests_for(len(raw))
-                digests = coder.of(coder.sums(raw), np.arange(high - low + 1), MATCH).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(np.full(len(digests), item["context"])), pa.array(np.arange(low - first, high - first + 1, dtype=np.int32))], names=["digest", "context", "shift"])
+                at, found = _digests_at(text, item["low"], item["high"], MATCH)
+                digests.append(found)
+                contexts.append(np.full(len(found), item["context"]))
+                shifts.append((at - item["first"]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (digests, contexts, shifts)], names=["digest", "context", "shift"])
+
+
+def texts_with(texts: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """(row, text, wanted) of the rows that something is wanted of, their wishes as a list."""
+    lists = staged(wanted.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "wanted")
+    return few_rows(texts, lists).filter("near").select("row", "text").join(lists, "row")
+
+
+def shared_between(rows: DataFrame, key: str) -> DataFrame:
+    """Values of ``key`` that two contexts or more have."""
+    return rows.groupBy(key).agg(F.min("context").alias("a"), F.max("context").alias("b")).filter("a <> b").select(key)
 
 
 def repeated_starts(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -232,16 +273,18 @@ def repeated_starts(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for k in range(batches):
         family.insert(anchors.filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == k))
     shared = staged(anchors.join(family.matches(), "gram", "left_semi"), "shared")
+    drop_staged(spark, anchors, *family.levels.values())
     contexts = staged(shared.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("row", "at", "first", "last", "ahead", "behind"), "row").alias("one")), "contexts")
     ones = contexts.select("context", "one.*")
-    mixed_up = lambda side: ones.filter(F.col(side).isNotNull()).groupBy(side).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(side).alias("key"))
-    low_half = ones.join(mixed_up("behind"), F.col("behind") == F.col("key")).select("row", "context", "first", F.col("first").alias("low"), F.least("last", F.col("at") - HALF).alias("high"))
-    high_half = ones.join(mixed_up("ahead"), F.col("ahead") == F.col("key")).select("row", "context", "first", F.greatest("first", F.col("at") - HALF).alias("low"), F.col("last").alias("high"))
-    wanted = staged(low_half.union(high_half).groupBy("row").agg(F.collect_list(F.struct("context", "first", "low", "high")).alias("wanted")), "wanted")
-    near = few_rows(texts, wanted).filter("near").select("row", "text").join(wanted, "row")
-    fine = staged(near.mapInArrow(_window_digests, "digest long, context long, shift int"), "windows")
-    twice = fine.groupBy("digest").agg(F.min("context").alias("a"), F.max("context").alias("b")).filter("a <> b").select("digest")
-    again = fine.join(twice, "digest", "left_semi").select("context", "shift").distinct()
+    both = lambda side: ones.filter(F.col(side).isNotNull()).join(shared_between(ones.filter(F.col(side).isNotNull()), side), side)
+    # A window reaches HALF bytes or more to one side of its anchor: that half must be shared.
+    low_half = both("behind").select("row", "context", "at", "first", F.col("first").alias("low"), F.least("last", F.col("at") - HALF).alias("high"))
+    high_half = both("ahead").select("row", "context", "at", "first", F.greatest("first", F.col("at") - HALF + 1).alias("low"), F.col("last").alias("high")).filter("low <= high")
+    halves = texts_with(texts, low_half.union(high_half), "context", "at", "first", "low", "high")
+    cores = staged(halves.mapInArrow(_cores, "core long, context long, row long, first int, low int, high int"), "cores")
+    live = cores.join(shared_between(cores, "core"), "core", "left_semi")
+    fine = staged(texts_with(texts, live, "context", "first", "low", "high").mapInArrow(_window_digests, "digest long, context long, shift int"), "windows")
+    again = fine.join(shared_between(fine, "digest"), "digest", "left_semi").select("context", "shift").distinct()
     runs = again.withColumn("run", F.col("shift") - F.row_number().over(Window.partitionBy("context").orderBy("shift"))).groupBy("context", "run").agg(F.min("shift").alias("from"), F.max("shift").alias("to"))
     whole = contexts.filter("n > 1").select("context", F.lit(0).alias("from"), (F.col("one.last") - F.col("one.first")).alias("to"))
     every = shared.select("row", "first", "context").join(whole.union(runs.select("context", "from", "to")), "context")
