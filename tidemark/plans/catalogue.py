@@ -30,6 +30,7 @@ def query(columns: str, sql: str | None = None):
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return build(spark, sf_dir).select(*[_SPARK[kind](name).alias(name) for name, kind in pairs])
 
         QUERIES[build.__name__] = shaped
@@ -155,7 +156,7 @@ def revision_report(spark, sf_dir):
     return revisions.revision_report(silver(spark, sf_dir))
 
 
-@query("region_id:s hours:i metric:s present:i", f"{a.SILVER_SQL} ;; SELECT region_id, (SELECT count(*) FROM silver x WHERE x.region_id = u.region_id) AS hours, metric, count(v) AS present FROM (UNPIVOT INCLUDE NULLS (SELECT region_id, {', '.join(a.EVENTS.metrics.values())} FROM silver) ON {', '.join(a.EVENTS.metrics.values())} INTO NAME metric VALUE v) u GROUP BY ALL")
+@query("region_id:s hours:i metric:s present:i", f"{a.SILVER_SQL} ;; SELECT region_id, (SELECT count(*) FROM silver x WHERE x.region_id = u.region_id) AS hours, metric, count(v) AS present FROM (SELECT region_id, {', '.join(a.EVENTS.metrics.values())} FROM silver) UNPIVOT INCLUDE NULLS (v FOR metric IN ({', '.join(a.EVENTS.metrics.values())})) AS u GROUP BY ALL")
 def metric_coverage(spark, sf_dir):
     return profiling.metric_coverage(silver(spark, sf_dir), list(a.EVENTS.metrics.values()))
 
@@ -331,7 +332,7 @@ def feature_weather(spark, sf_dir):
     return features.build_features(silver(spark, sf_dir), frame, clean_weather(spark, sf_dir), tz=a.TZ, points=a.POINTS)
 
 
-@query("feature:s coverage_pct:r", f"{_FRAME}, l AS (SELECT {', '.join(f'{_at(*v)} AS {n}' for n, v in _LAGS.items())} FROM frame f) ;; SELECT feature, 100.0 * count(v) / count(*) AS coverage_pct FROM (UNPIVOT INCLUDE NULLS l ON {', '.join(_LAGS)} INTO NAME feature VALUE v) GROUP BY 1")
+@query("feature:s coverage_pct:r", f"{_FRAME}, l AS (SELECT {', '.join(f'{_at(*v)} AS {n}' for n, v in _LAGS.items())} FROM frame f) ;; SELECT feature, 100.0 * count(v) / count(*) AS coverage_pct FROM l UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(_LAGS)})) GROUP BY 1")
 def feature_coverage(spark, sf_dir):
     return features.feature_coverage(_feature_rows(spark, sf_dir), list(_LAGS))
 
