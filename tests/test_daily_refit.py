@@ -1,0 +1,55 @@
+"""The daily run end to end on landed files, and the monthly refit."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_backtest_registry import frame
+from tidemark.operators import models
+from tidemark.operators.registry import Registry
+from tidemark.plans import adapters, pipeline
+from tidemark.plans.daily import DailySettings, daily_tasks
+from tidemark.plans.refit import forecast_month, refit, split_holdout
+from tidemark.sources.landing import write_landing
+
+DATA = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_daily_run_twice(spark, tmp_path):
+    landing = tmp_path / "landing"
+    blank = {c: F.lit(None).cast("string") for c in ("respondent_name", "type_name", "value_units", "source")}
+    write_landing(adapters.feed(spark, DATA).filter("period <> 'not-a-timestamp' and respondent is not null").withColumns(blank), str(landing / "feed"))
+    write_landing(adapters.weather(spark, DATA).filter("valid_timestamp_utc <> 'no time'"), str(landing / "weather"), "valid_timestamp_utc", ("region_id",))
+    settings = DailySettings(str(landing), str(tmp_path / "tables"), config=adapters.EVENTS, points=adapters.POINTS)
+    first = pipeline.run(daily_tasks(spark, settings))
+    again = pipeline.run(daily_tasks(spark, settings))
+    assert first["bronze"]["added"]["feed"] > 0 and again["bronze"]["added"] == {"feed": 0, "weather": 0}
+    assert first["silver"] == again["silver"] and pipeline.evaluate(again, pipeline.DAILY_CHECKS) == []
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    return frame(spark, months=6, step=5)
+
+
+def test_holdout_is_whole_months(data):
+    train, holdout, through = split_holdout(data)
+    cut = holdout.agg(F.min("forecast_date")).first()[0]
+    assert cut.month == holdout.agg(F.max("forecast_date")).first()[0].month and str(train.agg(F.max("forecast_date")).first()[0]) == through < str(cut)
+
+
+def test_refit_and_forecast(spark, data, tmp_path):
+    registry = Registry(spark, str(tmp_path))
+    make = lambda name: models.GbtModel(name, ["f1", "f2"], rounds=2, depth=2)
+    with pytest.raises(LookupError):
+        forecast_month(data, registry, "load")
+    first = refit(data, registry, "load", make)
+    assert first.version == 1 and first.verdict.promote and not first.basis.informative and first.incumbent is None
+    second = refit(data, registry, "load", make)
+    assert second.version == 2 and second.verdict.promote and not second.basis.informative
+    assert second.incumbent == second.candidate
+    made = forecast_month(data, registry, "load")
+    assert {r.model for r in made.select("model").distinct().collect()} == {"seasonal_naive", "eia_df", "load"}
+    assert made.filter("model = 'load'").first().model_version == "2"
