@@ -272,7 +272,7 @@ def repeated_starts(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     family = SuffixFamily()
     for k in range(batches):
         family.insert(anchors.filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == k))
-    shared = staged(anchors.join(family.matches(), "gram", "left_semi"), "shared")
+    shared = staged(anchors.join(staged(family.matches(), "matches"), "gram", "left_semi"), "shared")
     drop_staged(spark, anchors, *family.levels.values())
     contexts = staged(shared.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("row", "at", "first", "last", "ahead", "behind"), "row").alias("one")), "contexts")
     ones = contexts.select("context", "one.*")
