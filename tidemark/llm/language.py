@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import load, small_batches
@@ -37,7 +37,7 @@ SPAN = 128
 LANES = 2048
 UNKNOWN = "und"
 #: Pipeline stage: a text whose best language has less than this of the probability is rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.32
 
 
 @dataclass
@@ -214,10 +214,16 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     """Train on at most TRAIN_DOCUMENTS labelled documents a language that are not held out."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     usable = rows.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").isNotNull())
-    drawn = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("draw"))
-    # Only ids are ranked, and the planner keeps the first few of each language before it shuffles.
-    first = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).filter(F.col("rank") <= TRAIN_DOCUMENTS)
-    ids = sorted({r["doc_id"] for r in first.select("doc_id").collect()})
+    # Ids are thinned by their hash to a few times the bound, so what reaches the driver is bounded
+    # by languages and not by rows, and no language is gathered in one task.
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = {lang: min(1 << 30, (4 * TRAIN_DOCUMENTS << 30) // n) for lang, n in counts.items()}
+    most = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair]) if share else F.create_map(F.lit(""), F.lit(0))
+    ranked: dict[str, list[tuple[int, int]]] = {}
+    for r in usable.select("lang", "doc_id", draw.alias("draw")).filter(F.col("draw") <= most[F.col("lang")]).collect():
+        ranked.setdefault(r["lang"], []).append((r["draw"], r["doc_id"]))
+    ids = sorted({doc for rows in ranked.values() for _, doc in sorted(rows)[:TRAIN_DOCUMENTS]})
     small_batches(docs.sparkSession)
     windows = usable.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").mapInArrow(_draw_windows(TRAIN_WINDOWS, TRAIN_SPAN), "lang string, part binary")
     found = sorted((r["lang"], bytes(r["part"])) for r in windows.collect())
