@@ -33,7 +33,7 @@ LEAST_DOCUMENTS = 200
 #: Distance of a fence from the outer decile, in distances of that decile from the median.
 REACH = 3
 #: signal: (its least distance of the fence from the decile, whether it has a lower fence)
-SIGNALS: dict[str, tuple[int, bool]] = {"word_length": (150, True), "symbol_rate": (100, False), "dup_line_rate": (100, False), "repeat_rate": (100, False)}
+SIGNALS: dict[str, tuple[int, bool]] = {"word_length": (150, True), "symbol_rate": (100, False), "dup_line_rate": (150, False), "repeat_rate": (250, False)}
 METRICS = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -148,7 +148,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         inside = inside & F.coalesce(F.col(name) <= F.col(f"{name}_hi"), F.lit(True))
         if lower:
             inside = inside & F.coalesce(F.col(name) >= F.col(f"{name}_lo"), F.lit(True))
-    judged = measured.join(fences(sketch), ["lang", "source"], "left")
+    # Written, so that its size is known: a small table is broadcast, a large one joined with skew handling.
+    judged = measured.join(staged(fences(sketch), "fences"), ["lang", "source"], "left")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), *SIGNALS)
 
 
