@@ -100,13 +100,16 @@ NOTICES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
+#: What the SQL deletes: any line that begins so.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
+#: A line of a notice: the word or sign with a sign, a year, a place for one, or "by". A wrapped line of prose is none.
+NOTICE_LINE = r"(?m)^[^a-z0-9\n]*(©|(copyright|\(c\))[ \t:,]*(\(c\)|©|[0-9]{4}|[<\[{(]?(year|yyyy)\b|by\b))[^\n]*$"
 SEPARATORS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
     """Lower case without copyright lines, other characters as single spaces, spellings unified."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(F.lower(text), NOTICE_LINE, " ")
     out = F.trim(F.regexp_replace(out, SEPARATORS, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
