@@ -615,9 +615,8 @@ def tumbling_hours(spark, sf_dir):
 
 @query("model:s fold:i target_timestamp_utc:t prediction_mwh:r abs_error_mwh:r")
 def gbt_backtest(spark, sf_dir):
-    """The last two folds of the backtest with boosted trees, plain and as a ratio."""
+    """All folds of the backtest with boosted trees, plain and as a ratio."""
     rows = a.order_features(spark, sf_dir)
-    folds = _folds(spark, sf_dir).orderBy(F.col("fold").desc()).limit(2)
     inputs = ["target_local_hour", "is_weekend", "demand_same_hour_minus_7d", "benchmark_eia_df_mwh"]
-    trees = [models.GbtModel("gbt", inputs, rounds=5, depth=3), models.GbtRatioModel("gbt_ratio", inputs, baseline="demand_same_hour_minus_7d", rounds=5, depth=3)]
-    return backtest.run_backtest(rows, trees, folds)
+    trees = [models.GbtModel("gbt", inputs), models.GbtRatioModel("gbt_ratio", inputs, baseline="demand_same_hour_minus_7d")]
+    return backtest.run_backtest(rows, trees, _folds(spark, sf_dir))
