@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, small_batches, worker_cache
+from tidemark.llm.common import load, sliced, worker_cache
 from tidemark.llm.packing import encoder
 
 BUDGET = 1024
@@ -159,7 +159,7 @@ def _format(ranks_path: str, budget: int, history: int):
         names = ["conv_id", "window", "formatted", "n_tokens", "first_new", "loss"]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         current, out = None, []
-        for batch in batches:
+        for batch in sliced(batches):
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if current is None or current.conv != conv:
                     if current and (row := current.close()):
@@ -180,7 +180,6 @@ def _format(ranks_path: str, budget: int, history: int):
 
 def format_conversations(turns: DataFrame, ranks_path: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per window, in order within each conversation and partition."""
-    small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(_format(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), budget, history), WINDOWS)
@@ -195,7 +194,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, turns, all_turns, chars, loss, formatted = state
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((conv, turns, all_turns.hexdigest(), chars, loss.hexdigest(), formatted), types)], names=names)
 
-    for batch in batches:
+    for batch in sliced(batches):
         for conv, formatted, first_new, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "first_new", "loss"))):
             if state is None or state[0] != conv:
                 if state is not None:

@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_ROWS = 512
+#: Spark removes the shuffle files of a finished query at once, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """A row's identity in any scan: a 64-bit digest of its id and text, whatever the files' splits.
+
+    Rows that agree in both share a key. Two others share one with probability n^2/2^65.
+    """
+    return F.xxhash64(F.col(id_column).cast("long"), F.col(text_column).cast("binary"))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that a Python worker can hold twice. Spark bounds the bytes of what it sends."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,25 +56,49 @@ def shared_dir(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it knows it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder. What is still there when the driver's JVM ends goes with it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STAGED.append(path)
+    files, place = file_system(spark, path)
+    files.deleteOnExit(place)
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files; the setting is put back."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = path or stage_path(spark, name)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
     """Remove the staged tables so far. Only for callers who have written all that reads them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in [p for p in _STAGED if p not in keep]:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).delete(folder, True)
+        files, place = file_system(spark, path)
+        files.delete(place, True)
         _STAGED.remove(path)
 
 
@@ -75,3 +114,11 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     if not hasattr(kept, name):
         setattr(kept, name, make())
     return getattr(kept, name)
+
+
+def free_name(columns: list[str], stem: str) -> str:
+    """``stem``, made longer until no column is called so (Spark's names do not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, small_batches
+from tidemark.llm.common import load, sliced
 
 FOLDS = 5
 TRAIN_DOCUMENTS = 300
@@ -195,7 +195,7 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def _draw_windows(per_document: int, span: int):
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             langs, parts = [], []
             for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))):
                 if not has_letter(text):
@@ -224,7 +224,6 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     for r in usable.select("lang", "doc_id", draw.alias("draw")).filter(F.col("draw") <= most[F.col("lang")]).collect():
         ranked.setdefault(r["lang"], []).append((r["draw"], r["doc_id"]))
     ids = sorted({doc for rows in ranked.values() for _, doc in sorted(rows)[:TRAIN_DOCUMENTS]})
-    small_batches(docs.sparkSession)
     windows = usable.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").mapInArrow(_draw_windows(TRAIN_WINDOWS, TRAIN_SPAN), "lang string, part binary")
     found = sorted((r["lang"], bytes(r["part"])) for r in windows.collect())
     if not found:
@@ -240,7 +239,7 @@ def fold(doc_id):
 
 def _predict(net: Network | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             lettered = [k for k, t in enumerate(texts) if has_letter(t)] if net else []
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -253,7 +252,6 @@ def _predict(net: Network | None):
 
 
 def predict_languages(docs: DataFrame, net: Network | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    small_batches(docs.sparkSession)
     doc_id = F.col(id_column).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 0, F.lit(False)).alias("held_out"), F.col(text_column).alias("text"))
     return rows.mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -266,7 +264,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _accept(net: Network | None, text_at: int):
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text_at).to_pylist()
             lettered = [k for k, t in enumerate(texts) if has_letter(t)] if net else []
             kept = np.zeros(len(texts), bool)
@@ -279,5 +277,4 @@ def _accept(net: Network | None, text_at: int):
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without letters or without a clear language go. Rows pass through the model and are filtered there, so nothing is joined or shuffled."""
-    small_batches(spark)
     return docs.mapInArrow(_accept(fit(docs), docs.columns.index("text")), docs.schema)

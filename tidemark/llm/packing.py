@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, small_batches, worker_cache
+from tidemark.llm.common import load, sliced, worker_cache
 
 SEQUENCE = 1024
 GROUP_ROWS = 2048
@@ -85,7 +85,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 def _measure(ranks_path: str, sequence: int, id_column: str, text_column: str):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_cache(f"ranks {ranks_path}", lambda: encoder(ranks_path))
-        for batch in batches:
+        for batch in sliced(batches):
             counts, sums = [], []
             for text in batch.column("text"):
                 ids = document_ids(coder, text.as_py())
@@ -117,7 +117,6 @@ def _pack(sequence: int):
 def pack_documents(docs: DataFrame, ranks_path: str | None = None, sequence: int = SEQUENCE, group_rows: int = GROUP_ROWS, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: where it lies in its document, its checksum, and its place in a sequence."""
     spark = docs.sparkSession
-    small_batches(spark)
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     groups = max(1, -(-docs.count() // group_rows))

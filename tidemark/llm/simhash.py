@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, small_batches, staged
+from tidemark.llm.common import free_name, load, row_key, sliced, staged
 from tidemark.llm.components import connected_components
 
 SHINGLE = 3
@@ -69,16 +69,15 @@ def fingerprint(text: str | bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         prints = [fingerprint(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(prints, pa.int64())], names=["doc_id", "row", "fp"])
 
 
 def simhash(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp)."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, row, fp); ``row`` tells rows of one id apart."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), row_key(id_column, text_column).alias("row"), F.col(text_column).cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
 
 def close_pairs(values: np.ndarray, left: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -161,18 +160,23 @@ def fingerprint_links(prints: DataFrame, tile: int = TILE) -> DataFrame:
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
         dealt = own.select("*", other.alias("other")).select("choice", "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "fp", "tile")
     by = ["choice", "block", "low", "high"]
-    small_batches(spark, 20_000)
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): documents linked by fingerprints at most three bits apart share a component."""
+    """(doc_id, row, fp, component, component_id): documents linked by fingerprints at most three bits apart share a component.
+
+    ``component`` is its least fingerprint, which tells components apart even where ids repeat;
+    ``component_id`` is its least id.
+    """
     prints = staged(simhash(docs, id_column, text_column), "fingerprints")
     groups = connected_components(fingerprint_links(prints))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     named = least.join(groups, least["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # Written, so that a fingerprint or a component with a large share of the rows can be split in the joins.
+    heads = staged(staged(named, "named").join(staged(ids, "ids"), "component").select("fp", "component", "component_id"), "heads")
+    return prints.join(heads, "fp").select("doc_id", "row", "fp", "component", "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,11 +185,21 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the least id stays of each component; of repeated rows, one."""
+    """Pipeline stage: one document of each component stays, the one with the least id.
+
+    A component is a group of rows: of rows that share the least id, the one with the least digest of id
+    and text stays, and of rows that agree in both, one. A row with an id comes before one without. Null and empty
+    texts have fingerprint zero and are one component with whatever is near it. An empty table stays empty.
+    All columns pass unchanged: the stage's own columns take names that none of them has.
+    """
     found = staged(near_duplicates(docs), "components")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_repeated"))
-    joined = docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id"))).drop("_kept_id")
-    single = joined.filter("not _repeated").drop("_repeated")
-    if kept.filter("_repeated").isEmpty():
+    key, again = free_name(docs.columns, "_kept"), free_name(docs.columns, "_again")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    heads = found.groupBy("component").agg(first["row"].alias("row")).select("row")
+    copies = found.groupBy("row").agg((F.count(F.lit(1)) > 1).alias(again))
+    kept = staged(heads.join(copies, "row").select(F.col("row").alias(key), again), "kept")
+    joined = docs.join(kept, row_key() == F.col(key))
+    single = joined.filter(f"not {again}").drop(key, again)
+    if kept.filter(again).isEmpty():
         return single
-    return single.union(joined.filter("_repeated").dropDuplicates(["doc_id"]).drop("_repeated"))
+    return single.union(joined.filter(again).dropDuplicates([key]).drop(key, again))
