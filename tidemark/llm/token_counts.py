@@ -3,33 +3,45 @@
 For a byte-pair vocabulary the encoding of a prefix ends in exactly one token whose pair with the
 token before it is what the merges would give. So for each end position the last token and the
 count follow from shorter prefixes: ``count[i] = count[i - len(last)] + 1``. Words are independent
-under the pre-tokenizer, so the recurrence runs once per distinct chunk of a worker and a document's
-counts are running sums over its chunks. The stored sums answer "how many tokens has this prefix"
-and "where does the budget end" without encoding again.
+under the pre-tokenizer, so the recurrence runs once per distinct chunk of a worker.
+
+A document keeps one number for each of its characters: by how much the count of tokens changes when
+the prefix grows by that character, in a byte (four, if one document needs more). Running sums are the
+exact counts of all prefixes, so "how many tokens has this prefix" and "where does the budget end" are
+answered from what is stored and nothing is encoded again. A count may fall as a prefix grows, when a
+word becomes a token.
 
 Defined cases: a null text is an empty one; special strings inside a text count as one token each,
-as the library does by default; repeated rows repeat; an empty table gives an empty result; other
-columns are ignored. Very long texts cost time and output in proportion to their length.
+as the library does by default, and their own prefixes are ordinary text; repeated rows repeat; of
+prefixes with equal counts the longest answers a budget; an empty table gives an empty result; other
+columns are ignored, unless they are asked to be carried. Very long texts cost time and output in
+proportion to their length, with or without white space.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import load, small_batches, worker_cache
+from tidemark.llm.common import load, sliced, worker_cache
 
 LIMIT = 2048
-#: Distinct chunks a worker remembers at most; beyond that it starts afresh.
-REMEMBERED = 300_000
+#: Bytes of chunks that a worker remembers at most, about, in either of two generations; and pairs of tokens, and states of words' beginnings of up to SHARED symbols.
+REMEMBERED_BYTES = 48 << 20
+REMEMBERED = 400_000
+SHARED = 48
+#: What an entry takes beside its text and counts.
+ENTRY_BYTES = 200
 
 
 def byte_symbols() -> list[str]:
@@ -39,6 +51,25 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Remembered:
+    """A dictionary of bounded size: what is used stays, the rest goes with its generation."""
+
+    def __init__(self, most: int = REMEMBERED_BYTES) -> None:
+        self.new, self.old, self.size, self.most = {}, {}, 0, most
+
+    def get(self, key: str, make: Callable[[str], object]) -> object:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = make(key)
+            self.size += len(key) * 9 + ENTRY_BYTES
+            if self.size > self.most:
+                self.new, self.old, self.size = {}, self.new, len(key) * 9 + ENTRY_BYTES
+            self.new[key] = found
+        return found
+
+
 class PrefixCounter:
     """Counts tokens of prefixes for one tokenizers file with word-end symbols."""
 
@@ -63,9 +94,9 @@ class PrefixCounter:
         self.odd = regex.compile("[\x1c-\x1f]")
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, int] = {}
-        self.older: dict[str, int] = {}
-        self.word_known: dict[str, int] = {}
+        self.chunk_known = Remembered()
+        self.root, self.remembered = ["", 0, 0, None], 0
+        self.joining: frozenset[str] | None = None
 
     def merged(self, first: str, second: str) -> list[str]:
         """The tokens that the merges make of the two tokens' symbols."""
@@ -94,7 +125,7 @@ class PrefixCounter:
         found = self.fits.get(key)
         if found is None:
             if len(self.fits) > REMEMBERED:
-                self.fits.clear()
+                self.fits.clear()  # no more than the work of finding them again
             found = self.fits[key] = self.apart(first, second) if first else self.merged("", second) == [second]
         return found
 
@@ -122,130 +153,251 @@ class PrefixCounter:
                 right = r[1]
                 before_left = min(before_left, r[0] + 1)
 
+    def state(self, text: str, end: int, path: list[list]) -> list:
+        """The state of text[:end], from those of shorter prefixes: last token, tokens, tokens as a whole word, and the states of longer ones by their next symbol."""
+        vocab, fits, word_end = self.vocab, self.fits, self.end
+        inner = whole = None
+        for start in range(max(0, end - self.longest), end):
+            token = text[start:end]
+            if inner is None and token in vocab:
+                ok = fits.get((path[start][0], token))
+                if self.follows(path[start][0], token) if ok is None else ok:
+                    inner = start
+            if whole is None and (closed := token + word_end) in vocab:
+                ok = fits.get((path[start][0], closed))
+                if self.follows(path[start][0], closed) if ok is None else ok:
+                    whole = start
+            if inner is not None and whole is not None:
+                return [text[inner:end], path[inner][1] + 1, path[whole][1] + 1, None]
+        raise ValueError(f"no token ends {text[:end]!r}")
+
+    def states(self, text: str) -> list[list]:
+        """The recurrence over a word: the states of its prefixes, the empty one first. Words share the states of their common beginnings."""
+        if self.remembered > REMEMBERED:
+            self.root, self.remembered = ["", 0, 0, None], 0
+        node = self.root
+        path = [node]
+        for end, symbol in enumerate(text, 1):
+            longer = node[3]
+            found = longer.get(symbol) if longer else None
+            if found is None:
+                found = self.state(text, end, path)
+                if end <= SHARED:
+                    self.remembered += 1
+                    if longer is None:
+                        node[3] = {symbol: found}
+                    else:
+                        longer[symbol] = found
+            path.append(found)
+            node = found
+        return path
+
+    def symbol_text(self, word: str) -> str:
+        """The word in the vocabulary's symbols, one for each byte."""
+        if word.isascii() and word.isprintable():
+            return word
+        return "".join([self.symbols[b] for b in word.encode()])
+
+    def char_ends(self, word: str) -> list[int]:
+        return list(accumulate(len(c.encode()) for c in word))
+
     def word_prefixes(self, word: str) -> list[int]:
-        """Tokens of word[:1], word[:2], ... in bytes, each taken as a whole word."""
-        text = "".join(self.symbols[b] for b in word.encode())
-        last, count, whole = [""], [0], []
-        for end in range(1, len(text) + 1):
-            for tail in ("", self.end):
-                for start in range(max(0, end - self.longest), end):
-                    token = text[start:end] + tail
-                    if token in self.vocab and self.follows(last[start], token):
-                        break
-                else:
-                    raise ValueError(f"no token ends at {end} of {word!r}")
-                if tail:
-                    whole.append(count[start] + 1)
-                else:
-                    last.append(token)
-                    count.append(count[start] + 1)
-        return whole
+        """Tokens of word[:1], word[:2], ..., each taken as a whole word."""
+        path = self.states(self.symbol_text(word))
+        return [x[2] for x in path[1:]] if word.isascii() else [path[k][2] for k in self.char_ends(word)]
 
     def word_count(self, word: str) -> int:
-        """As ``word_prefixes(word)[-1]``, without the word-end forms of the shorter prefixes."""
-        found = self.word_known.get(word)
-        if found is None:
-            if len(self.word_known) > REMEMBERED:
-                self.word_known.clear()
-            found = self.word_known[word] = self._word_count(word)
-        return found
+        return self.states(self.symbol_text(word))[-1][2]
 
-    def _word_count(self, word: str) -> int:
-        if word.isascii() and word.isprintable():
-            text = word
-        else:
-            text = "".join([self.symbols[b] for b in word.encode()])
-        if text + self.end in self.vocab and self.follows("", text + self.end):
-            return 1
-        vocab, fits, last, count, size = self.vocab, self.fits, [""], [0], len(text)
-        for end in range(1, size):
-            for start in range(max(0, end - self.longest), end):
-                token = text[start:end]
-                if token in vocab:
-                    ok = fits.get((last[start], token))
-                    if ok is None:
-                        ok = self.follows(last[start], token)
-                    if ok:
-                        last.append(token)
-                        count.append(count[start] + 1)
-                        break
-        for start in range(max(0, size - self.longest), size):
-            token = text[start:] + self.end
-            if token in vocab and self.follows(last[start], token):
-                return count[start] + 1
-        raise ValueError(f"no token ends {word!r}")
-
-    def normal_words(self, chunk: str) -> list[str]:
-        # Lower case by character, as the library does: no rule looks at a character's neighbours.
-        if chunk.isascii():
-            lower = chunk.lower()
-        else:
-            lower = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+    def split(self, lower: str) -> list[str]:
+        """Words of a normalised text without white space."""
         return [lower] if lower.isalpha() else self.words.findall(lower)
 
-    def chunk_count(self, chunk: str) -> int:
-        """Tokens of a text without white space."""
-        if self.hint in chunk and self.special_split.search(chunk):
-            found = self.special_split.findall(chunk)
-            return len(found) + sum(self.chunk_count(rest) for rest in self.special_split.split(chunk) if rest)
-        return sum(map(self.word_count, self.normal_words(chunk)))
-
-    def chunks(self, text: str) -> list[str]:
-        return [c for c in self.space.split(text) if c] if self.odd.search(text) else text.split()
-
-    def counts(self, text: str) -> list[int]:
-        """Tokens of each chunk of the text, in order."""
-        chunks = self.chunks(text)
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        for chunk in chunks:
-            if chunk not in known:
-                found = older.get(chunk)
-                known[chunk] = self.chunk_count(chunk) if found is None else found
-        return [known[c] for c in chunks]
-
-    def truncation(self, chunk: str, budget: int) -> int:
-        """Characters of the chunk's longest prefix with at most ``budget`` tokens."""
-        best = 0
-        for end in range(1, len(chunk) + 1):
-            if self.chunk_count(chunk[:end]) <= budget:
-                best = end
-        return best
-
-
-def _count(path: str):
+    def _normal_prefixes(self, lower: str) -> list[int]:
+        """Counts for each prefix of a normalised text. Only the word that a prefix ends in can differ from the text's own."""
+        out: list[int] = []
+        for word in self.split(lower):
+            base = out[-1] if out else 0
+            own = self.word_prefixes(word)
+            if word[0] == "'" and len(word) > 1 and word[1].isalpha():
+                # A contraction is one word, but its prefixes are not.
+                own = [sum(map(self.word_count, self.split(word[: k + 1]))) for k in range(len(word))]
+            out += [base + x for x in own]
+        return out
+
+    def _plain_prefixes(self, chunk: str) -> list[int]:
+        """Counts for each prefix of a text without white space and special strings."""
+        if chunk.isascii():
+            return self._normal_prefixes(chunk.lower())
+        if not unicodedata.is_normalized("NFC", chunk):
+            return self._composing_prefixes(chunk)
+        # Lower case by character, as the library does: no rule looks at a character's neighbours.
+        parts = list(map(str.lower, chunk))
+        counts = self._normal_prefixes("".join(parts))
+        return counts if len(counts) == len(chunk) else [counts[k - 1] for k in np.cumsum([len(p) for p in parts]).tolist()]
+
+    def joins(self, char: str) -> bool:
+        """Whether a character may combine with what stands before it."""
+        if self.joining is None:
+            pairs = (unicodedata.decomposition(chr(k)).split() for k in range(0x110000))
+            second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+            self.joining = frozenset(second | set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])))
+        return char in self.joining or unicodedata.combining(char) > 0
+
+    def _composing_prefixes(self, chunk: str) -> list[int]:
+        """As above where composing changes the text: a prefix may end before what its last characters combine with."""
+        normal = lambda text: "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+        starts = [k for k, c in enumerate(chunk) if not k or not self.joins(c)] + [len(chunk)]
+        segments = [chunk[a:b] for a, b in zip(starts, starts[1:])]
+        done = [normal(s) for s in segments]
+        text = "".join(done)
+        counts, words, at = self._normal_prefixes(text), [], 0
+        for word in self.split(text):
+            words.append((at, word))
+            at += len(word)
+        out, place, k = [], 0, 0
+        kept: tuple[int, tuple] = (-1, ())
+        for segment, whole in zip(segments, done):
+            for size in range(1, len(segment) + 1):
+                part = normal(segment[:size])
+                if whole.startswith(part):
+                    out.append(counts[place + len(part) - 1])
+                    continue
+                while k + 1 < len(words) and words[k + 1][0] < place:
+                    k += 1
+                begin, word = words[k] if place else (0, "")
+                head = text[begin:place]
+                pieces = self.split(head + part)
+                total = counts[begin - 1] if begin else 0
+                if pieces and len(pieces[0]) > self.longest and pieces[0].startswith(head) and head:
+                    # A long run goes on from the states of its word, so the cost does not grow with it.
+                    if kept[0] != k:
+                        kept = (k, (self.symbol_text(word), self.char_ends(word), self.states(self.symbol_text(word))))
+                    symbols, ends, path = kept[1]
+                    end = ends[len(head) - 1]
+                    low = max(0, end - 2 * self.longest)
+                    near, steps = symbols[low:end], path[low : end + 1]
+                    for symbol in self.symbol_text(pieces[0][len(head) :]):
+                        near += symbol
+                        steps.append(self.state(near, len(near), steps))
+                    total += steps[-1][2] + sum(map(self.word_count, pieces[1:]))
+                else:
+                    total += sum(map(self.word_count, pieces))
+                out.append(total)
+            place += len(whole)
+        return out
+
+    def prefixes(self, chunk: str) -> list[int]:
+        """Tokens of chunk[:1], chunk[:2], ... of a text without white space."""
+        if self.hint not in chunk:
+            return self._plain_prefixes(chunk)
+        out, base, k = [], 0, 0
+        for found in self.special_split.finditer(chunk):
+            # Until its last character is there, a special string is ordinary text after what stands before it.
+            out += [base + x for x in self._plain_prefixes(chunk[k : found.end() - 1])]
+            base = (out[found.start() - 1] if found.start() > k else base) + 1
+            out.append(base)
+            k = found.end()
+        return out + [base + x for x in self._plain_prefixes(chunk[k:])] if k < len(chunk) else out
+
+    def _changes(self, chunk: str) -> bytes | np.ndarray:
+        """By how much the count changes with each character: bytes, or numbers if one does not fit."""
+        counts = self.prefixes(chunk)
+        changes = [b - a for a, b in zip([0, *counts], counts)]
+        if min(changes) < -128 or max(changes) > 127:
+            return np.array(changes, np.int32)
+        return bytes([x & 255 for x in changes])
+
+    def changes(self, text: str) -> np.ndarray:
+        """For each character of a text, by how much it changes the number of tokens; white space does not."""
+        odd = self.odd.search(text)
+        chunks = [c for c in self.space.split(text) if c] if odd else text.split()
+        known, get = self.chunk_known, self.chunk_known.new.get
+        parts = [get(c) for c in chunks]
+        if None in parts:
+            parts = [known.get(c, self._changes) if p is None else p for c, p in zip(chunks, parts)]
+        if all(type(p) is bytes for p in parts):
+            joined = b"\0".join(parts)
+            if len(joined) == len(text):
+                return np.frombuffer(joined, np.int8)
+        out, at = np.zeros(len(text), np.int32), 0
+        for chunk, part in zip(chunks, parts):
+            at = text.index(chunk, at)
+            out[at : at + len(chunk)] = np.frombuffer(part, np.int8) if type(part) is bytes else part
+            at += len(chunk)
+        small = out.astype(np.int8)
+        return small if (small == out).all() else out
+
+
+def stored(changes: np.ndarray) -> bytes:
+    """The column's form: one signed byte a character after a zero, or four after a one."""
+    return (b"\0" if changes.dtype == np.int8 else b"\1") + changes.tobytes()
+
+
+def running(prefix_changes: bytes) -> np.ndarray:
+    """Tokens of the prefixes of 0, 1, 2, ... characters."""
+    changes = np.frombuffer(prefix_changes[1:], np.int8 if prefix_changes[:1] == b"\0" else np.int32)
+    return np.concatenate(([0], np.cumsum(changes, dtype=np.int64)))
+
+
+def _count(path: str, carry: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(f"prefix counter {path}", lambda: PrefixCounter(path))
-        for batch in batches:
-            sums, offsets = [], [0]
-            for text in batch.column("text").to_pylist():
-                sums.append(np.cumsum(np.asarray(counter.counts(text or ""), np.int32), dtype=np.int32))
-                offsets.append(offsets[-1] + len(sums[-1]))
-            flat = np.concatenate(sums) if sums else np.zeros(0, np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), prefix], names=["doc_id", "n_bytes", "prefix_tokens"])
+        for batch in sliced(batches):
+            changes = [counter.changes(text or "") for text in batch.column(0).to_pylist()]
+            totals = pa.array([int(c.sum(dtype=np.int64)) for c in changes], pa.int64())
+            prefixes = pa.array([stored(c) for c in changes], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], totals, prefixes], names=["doc_id", "n_bytes", *carry, "n_tokens", "prefix_changes"])
 
     return count
 
 
-def token_prefix_counts(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, prefix_tokens): tokens up to the end of the first, second, ... white-space chunk."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(_count(path or public_tokenizers.path("word_bpe_49k.json")), "doc_id long, n_bytes long, prefix_tokens array<int>")
+def token_prefix_counts(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, carried columns, n_tokens, prefix_changes): the exact counts of all prefixes of each text, and the last of them."""
+    carried = [docs.schema[c] for c in carry]
+    rows = docs.select(F.col(text_column).alias("_text"), F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("n_bytes"), *carry)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), *carried, T.StructField("n_tokens", T.LongType()), T.StructField("prefix_changes", T.BinaryType())])
+    return rows.mapInArrow(_count(path or public_tokenizers.path("word_bpe_49k.json"), list(carry)), schema)
+
+
+def prefix_tokens(prefix_changes: bytes, chars: int) -> int:
+    """Tokens of the first ``chars`` characters."""
+    return int(running(prefix_changes)[chars])
+
+
+def longest_prefix(prefix_changes: bytes, budget: int) -> int:
+    """Characters of the longest prefix with at most ``budget`` tokens."""
+    return int(np.flatnonzero(running(prefix_changes) <= budget)[-1]) if budget >= 0 else 0
+
+
+def pieces_within(prefix_changes: bytes, budget: int) -> list[int]:
+    """Ends of a text's pieces, cut so that the count grows by at most ``budget`` over each; a character that alone takes more is a piece."""
+    sums, ends, at = running(prefix_changes), [], 0
+    while at < len(sums) - 1:
+        inside = np.flatnonzero(sums[at + 1 :] <= sums[at] + budget)
+        at += int(inside[-1]) + 1 if len(inside) else 1
+        ends.append(at)
+    return ends
+
 
+def _longest(budget: int):
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            k = batch.schema.get_field_index("prefix_changes")
+            ends = [longest_prefix(p, budget) for p in batch.column(k).to_pylist()]
+            columns = [c for j, c in enumerate(batch.columns) if j != k]
+            names = [n for j, n in enumerate(batch.schema.names) if j != k]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ends, pa.int64())], names=[*names, "kept_chars"])
 
-def tokens_of(prefix_tokens: Column) -> Column:
-    """Tokens of the whole text."""
-    return F.coalesce(F.try_element_at(prefix_tokens, F.lit(-1)), F.lit(0)).cast("long")
+    return longest
 
 
-def chunks_within(prefix_tokens: Column, budget: int) -> Column:
-    """How many whole chunks fit a budget; the stored sums rise, so a count of the small ones is the place."""
-    return F.size(F.filter(prefix_tokens, lambda n: n <= budget))
+def within_budget(counted: DataFrame, budget: int) -> DataFrame:
+    """``counted`` (as ``token_prefix_counts`` gives it) with ``kept_chars`` in place of the counts: where each text ends under the budget. Nothing is encoded."""
+    kept = [f for f in counted.schema.fields if f.name != "prefix_changes"]
+    return counted.mapInArrow(_longest(budget), T.StructType([*kept, T.StructField("kept_chars", T.LongType())]))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_prefix_counts(load(spark, sf_dir, "documents"))
-    return counted.select("doc_id", "n_bytes", tokens_of(F.col("prefix_tokens")).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
