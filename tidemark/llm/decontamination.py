@@ -3,16 +3,22 @@
 The training texts are indexed in blocks of documents: one row holds a block's terms and, for each,
 the sorted list of its positions in the block's token stream. Such an index is dealt by document, so
 a frequent term is spread over all blocks and no list is gathered in one place. A phrase is found
-from its rarest term: that term's list, moved back by the term's offset, is narrowed by the lists of
-the other terms, each moved by its own offset, from rare to frequent. With ``slop`` a term may stand
-that many places away from its own, which gives proximity matches.
-
-The benchmark is taken in blocks of at most ``ITEMS`` items, each sent to the executors with its
-vocabulary; a larger benchmark means more passes over the index, not larger messages.
-
-Defined cases: a null text has no words; an item without words has no window; repeated rows and
-items count one by one; rarity ties are broken by offset; a very long text is a block of its own;
-empty tables give an empty result or no hits; other columns are ignored.
+from its rarest term: a block is asked only for windows whose rarest term it has; that term's list,
+moved back by the term's offset, is narrowed by the lists of the other terms, each moved by its own
+offset, from rare to frequent.
+
+A proximity match has all terms in order, each at most ``slop`` places from where the phrase would
+have it. Its words are the terms' own positions, not the stretch between them.
+
+Windows of the benchmark are a table of their own, keyed by digest. They are looked for in passes of
+about ``WINDOWS``, whatever items they come from, so a huge item or many items of one id change
+neither message nor memory; items join the hits afterwards.
+
+Defined cases: a null text has no words; an item without words has no window; a null item id is the
+empty string; items that share an id are one item with the windows of all of them; documents are told
+apart by a digest of id and text, so repeated rows count one by one and rows that share an id keep
+their own result; rarity ties are broken by offset; a text longer than ``BLOCK_TOKENS`` is a block of
+its own; empty tables give an empty result or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,21 +28,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, small_batches, stage_path, staged
+from tidemark.llm.common import free_name, load, row_key, sliced, stage_path, staged
 
 WINDOW = 13
 #: Tokens of an index block, about.
 BLOCK_TOKENS = 400_000
-#: Items of the benchmark that one pass looks for, and the bytes of their texts at most.
-ITEMS = 5_000
-ITEM_BYTES = 8_000_000
+#: Different windows of the benchmark that one pass looks for, about.
+WINDOWS = 100_000
+#: Windows of one item that leave a worker at once.
+ITEM_WINDOWS = 20_000
+#: Places that a term may be off in a proximity match of the query.
+SLOP = 2
 SEPARATORS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 TABLE = bytes.maketrans(SEPARATORS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * len(SEPARATORS) + b"abcdefghijklmnopqrstuvwxyz")
-INDEX = "block long, doc_ids array<long>, starts array<int>, n_words array<int>, terms array<binary>, ends array<int>, positions binary"
-HITS = "block long, ordinal int, doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+INDEX = "block long, doc_ids array<long>, rows array<long>, starts array<int>, n_words array<int>, terms array<binary>, ends array<int>, positions binary"
+SPANS = "array<struct<a:int,b:int>>"
+HITS = f"row long, block long, ordinal int, doc_id long, n_words long, spans {SPANS}, windows array<long>, near_spans {SPANS}, near_windows array<long>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -54,29 +64,30 @@ def unpack_positions(raw: bytes) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "n_words": pa.list_(pa.int32()), "terms": pa.list_(pa.binary()), "ends": pa.list_(pa.int32()), "positions": pa.binary()}
+    types = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "rows": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "n_words": pa.list_(pa.int32()), "terms": pa.list_(pa.binary()), "ends": pa.list_(pa.int32()), "positions": pa.binary()}
     base, made = TaskContext.get().partitionId() << 32, 0
-    ids, starts, sizes, codes, known, place = [], [], [], [], {}, 0
+    ids, keys, starts, sizes, codes, known, place = [], [], [], [], [], {}, 0
 
     def row() -> pa.RecordBatch:
-        nonlocal made, ids, starts, sizes, codes, known, place
+        nonlocal made, ids, keys, starts, sizes, codes, known, place
         term = np.concatenate(codes) if codes else np.zeros(0, np.int32)
         where = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes)]) if starts else np.zeros(0, np.int64)
         order = np.argsort(term, kind="stable")
         ends = np.cumsum(np.bincount(term, minlength=len(known)))
-        values = [base + made, ids, starts, sizes, list(known), ends.astype(np.int32), pack_positions(where[order])]
+        values = [base + made, ids, keys, starts, sizes, list(known), ends.astype(np.int32), pack_positions(where[order])]
         made += 1
-        ids, starts, sizes, codes, known, place = [], [], [], [], {}, 0
+        ids, keys, starts, sizes, codes, known, place = [], [], [], [], [], {}, 0
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types.values())], names=list(types))
 
-    for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+    for batch in sliced(batches):
+        for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
             words = words_of(text)
             if ids and place + len(words) > BLOCK_TOKENS:
                 yield row()
             number = known.setdefault
             codes.append(np.array([number(w, len(known)) for w in words], np.int32))
             ids.append(doc)
+            keys.append(key)
             starts.append(place)
             sizes.append(len(words))
             place += len(words) + 1  # a gap, so that no phrase runs from one document into the next
@@ -87,32 +98,37 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Write the postings of all tokens of ``docs`` to the shared folder and open them as a table, a row for each block."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = stage_path(spark, "postings")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), row_key(id_column, text_column).alias("row"), F.col(text_column).cast("binary").alias("text"))
     rows.mapInArrow(_index, INDEX).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
-def windows_of(items: list[tuple[object, bytes | None]]) -> dict[tuple[bytes, ...], list[object]]:
-    """The distinct windows and the items that have each."""
-    found: dict[tuple[bytes, ...], dict] = {}
-    for item, text in items:
-        words = words_of(text)
-        for k in range(max(1, len(words) - WINDOW + 1) if words else 0):
-            found.setdefault(tuple(words[k : k + WINDOW]), {})[item] = None
-    return {window: list(own) for window, own in found.items()}
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+            words = words_of(text)
+            found = list(dict.fromkeys(tuple(words[k : k + WINDOW]) for k in range(max(1, len(words) - WINDOW + 1) if words else 0)))
+            for k in range(0, len(found), ITEM_WINDOWS):
+                part = found[k : k + ITEM_WINDOWS]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(list(map(list, part)), pa.list_(pa.binary()))], names=["item", "words"])
 
 
-def _frequencies(vocabulary: frozenset):
+def windows_of(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """(window, item, words): the different windows of each item, keyed by a digest of their words."""
+    texts = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("item"), F.col(text_column).cast("binary").alias("text"))
+    found = texts.mapInArrow(_windows, "item string, words array<binary>")
+    return found.select(F.xxhash64("words").alias("window"), "item", "words")
+
+
+def _frequencies(vocabulary):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
-        for batch in batches:
-            for terms, ends in zip(batch.column("terms").to_pylist(), batch.column("ends")):
-                sizes = np.diff(ends.values.to_numpy(), prepend=0)
-                for k, term in enumerate(terms):
-                    if term in vocabulary:
-                        total[term] = total.get(term, 0) + int(sizes[k])
+        wanted, total = vocabulary.value, {}
+        for batch in sliced(batches, 1):
+            terms, sizes = batch.column("terms")[0].as_py(), np.diff(batch.column("ends")[0].values.to_numpy(), prepend=0)
+            for k, term in enumerate(terms):
+                if term in wanted:
+                    total[term] = total.get(term, 0) + int(sizes[k])
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
     return count
@@ -120,14 +136,17 @@ def _frequencies(vocabulary: frozenset):
 
 def term_frequencies(index: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
     """Occurrences in the corpus of each term of a bounded vocabulary."""
-    rows = index.select("terms", "ends").mapInArrow(_frequencies(vocabulary), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sent = index.sparkSession.sparkContext.broadcast(vocabulary)  # at most WINDOWS * WINDOW words
+    rows = index.select("terms", "ends").mapInArrow(_frequencies(sent), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {bytes(r["term"]): r["n"] for r in rows.collect()}
 
 
-def phrase_starts(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], slop: int = 0) -> np.ndarray:
-    """Starts of a phrase, given as (term, offset) from rare to frequent, in one block."""
+def near_starts(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], slop: int = 0) -> np.ndarray:
+    """Places where a phrase, given as (term, offset) from rare to frequent, may start in one block: each term has an occurrence at most ``slop`` off its own place."""
     first, offset = window[0]
     starts = lists[first] - offset
+    if slop:
+        starts = np.unique((starts[:, None] + np.arange(-slop, slop + 1)).ravel())
     for term, offset in window[1:]:
         if not len(starts):
             break
@@ -139,88 +158,129 @@ def phrase_starts(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray
     return starts
 
 
-def _hits(windows: list[tuple[list[tuple[bytes, int]], list[str]]], slop: int, every: bool):
-    vocabulary = frozenset(term for window, _ in windows for term, _ in window)
+def in_order(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], starts: np.ndarray, slop: int) -> np.ndarray:
+    """(match, term) positions of the phrases at ``starts`` whose terms follow each other: each term takes its first occurrence after the one before it, which leaves the most room to the next."""
+    places, before, live = [], np.full(len(starts), -1), np.ones(len(starts), bool)
+    for term, offset in sorted(window, key=lambda x: x[1]):
+        own = lists[term]
+        at = np.searchsorted(own, np.maximum(before + 1, starts + offset - slop))
+        live &= at < len(own)
+        before = own[np.minimum(at, len(own) - 1)]
+        live &= before <= starts + offset + slop
+        places.append(before)
+    return np.stack(places, axis=1)[live]
+
 
+def _hits(sent, slop: int, every: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_rarest, vocabulary = sent.value
         spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        for batch in batches:
-            for k in range(batch.num_rows):
-                get = lambda name: batch.column(name)[k]  # noqa: E731, B023
-                doc_ids, starts, sizes = get("doc_ids").as_py(), get("starts").values.to_numpy(), get("n_words").values.to_numpy()
-                ends, places = get("ends").values.to_numpy(), unpack_positions(get("positions").as_py())
-                lists = {t: places[(ends[j - 1] if j else 0) : ends[j]] for j, t in enumerate(get("terms").as_py()) if t in vocabulary}
-                covered = np.zeros(int(starts[-1] + sizes[-1]) + 2, np.int8)
-                items: dict[int, set[str]] = {}
-                for window, own in windows:
-                    if any(term not in lists for term, _ in window):
+        for batch in sliced(batches, 1):  # a row is a whole block
+            get = lambda name: batch.column(name)[0]  # noqa: E731, B023
+            doc_ids, rows, starts, sizes = get("doc_ids").as_py(), get("rows").as_py(), get("starts").values.to_numpy(), get("n_words").values.to_numpy()
+            ends, places, terms = get("ends").values.to_numpy(), unpack_positions(get("positions").as_py()), get("terms").as_py()
+            lists = {t: places[(ends[j - 1] if j else 0) : ends[j]] for j, t in enumerate(terms) if t in vocabulary}
+            size = int(starts[-1] + sizes[-1]) + 2
+            marks, found = [np.zeros(size, np.int8), np.zeros(size, np.int8)], [{}, {}]
+
+            def mark(kind: int, matched: np.ndarray, window: int) -> None:
+                docs = np.searchsorted(starts, matched[:, 0], side="right") - 1
+                inside = (matched[:, 0] >= 0) & (docs >= 0) & (matched[:, -1] < starts[docs] + sizes[docs])
+                marks[kind][matched[inside].ravel()] = 1
+                for doc in np.unique(docs[inside]).tolist():
+                    found[kind].setdefault(doc, []).append(window)
+
+            for term in lists.keys() & by_rarest.keys():
+                for window, phrase in by_rarest[term]:
+                    if any(t not in lists for t, _ in phrase):
                         continue
-                    found = phrase_starts(window, lists, slop)
-                    if not len(found):
-                        continue
-                    docs = np.searchsorted(starts, found, side="right") - 1
-                    kept = (found >= 0) & (found + len(window) <= starts[docs] + sizes[docs])
-                    for start, doc in zip(found[kept].tolist(), docs[kept].tolist()):
-                        covered[start : start + len(window)] = 1
-                        items.setdefault(doc, set()).update(own)
-                edges = np.flatnonzero(np.diff(covered, prepend=np.int8(0)))
-                spans: dict[int, list[dict]] = {}
-                for a, b in edges.reshape(-1, 2).tolist():
+                    exact = near_starts(phrase, lists)
+                    if len(exact):
+                        mark(0, exact[:, None] + np.arange(len(phrase)), window)
+                    if slop and len(near := near_starts(phrase, lists, slop)) and len(matched := in_order(phrase, lists, near, slop)):
+                        mark(1, matched, window)
+
+            def spans(kind: int) -> dict[int, list[dict]]:
+                out: dict[int, list[dict]] = {}
+                for a, b in np.flatnonzero(np.diff(marks[kind], prepend=np.int8(0))).reshape(-1, 2).tolist():
                     doc = int(np.searchsorted(starts, a, side="right")) - 1
-                    spans.setdefault(doc, []).append({"a": a - int(starts[doc]), "b": b - int(starts[doc])})
-                rows = range(len(doc_ids)) if every else sorted(items)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([get("block").as_py()] * len(rows), pa.int64()),
-                        pa.array(rows, pa.int32()),
-                        pa.array([doc_ids[d] for d in rows], pa.int64()),
-                        pa.array([int(sizes[d]) for d in rows], pa.int64()),
-                        pa.array([spans.get(d, []) for d in rows], spans_type),
-                        pa.array([sorted(items.get(d, ())) for d in rows], pa.list_(pa.string())),
-                    ],
-                    names=["block", "ordinal", "doc_id", "n_words", "spans", "items"],
-                )
+                    out.setdefault(doc, []).append({"a": a - int(starts[doc]), "b": b - int(starts[doc])})
+                return out
+
+            own = range(len(doc_ids)) if every else sorted(found[0].keys() | found[1].keys())
+            cover = [spans(0), spans(1)]
+            columns = [pa.array([rows[d] for d in own], pa.int64()), pa.array([get("block").as_py()] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([doc_ids[d] for d in own], pa.int64()), pa.array([int(sizes[d]) for d in own], pa.int64())]
+            for kind in (0, 1):
+                columns += [pa.array([cover[kind].get(d, []) for d in own], spans_type), pa.array([found[kind].get(d, []) for d in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "block", "ordinal", "doc_id", "n_words", "spans", "windows", "near_spans", "near_windows"])
 
     return search
 
 
+def _union_of(spans: str) -> Column:
+    """Spans of several passes as disjoint ones in order."""
+    start = F.array().cast(SPANS)
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], s["b"]).alias("b"))))
+    step = lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= s["a"]), grown(acc, s)).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(F.array_sort(F.flatten(F.collect_list(spans))), start, step)
+
+
 def find_passages(index: DataFrame, benchmark: DataFrame, slop: int = 0, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """(block, ordinal, doc_id, n_words, spans, items) for each indexed document; spans are word ranges [a, b) inside windows of items."""
+    """(row, doc_id, n_words, spans, items, near_spans, near_items) for each indexed document: spans are word ranges [a, b) of exact phrases, or of the words of proximity matches."""
     spark = index.sparkSession
-    texts = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("item"), F.col(text_column).cast("binary").alias("text"))
-    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    passes = max(1, -(-size["n"] // ITEMS), -(-size["bytes"] // ITEM_BYTES))
+    windows = staged(windows_of(benchmark, id_column, text_column), "windows")
+    different = staged(windows.groupBy("window").agg(F.first("words").alias("words")), "windows")
+    passes = max(1, -(-different.count() // WINDOWS))
     found = None
-    small_batches(spark, 1)  # a row is a whole block
     for k in range(passes):
-        part = texts.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else texts
-        windows = windows_of([(r["item"], r["text"] and bytes(r["text"])) for r in part.collect()])
-        counts = term_frequencies(index, frozenset(t for w in windows for t in w)) if windows else {}
-        ranked = [(sorted(((t, o) for o, t in enumerate(w)), key=lambda x: (counts[x[0]], x[1])), own) for w, own in windows.items() if all(t in counts for t in w)]
-        hits = index.mapInArrow(_hits(ranked, slop, k == 0), HITS)
+        part = different.filter(F.pmod("window", F.lit(passes)) == k) if passes > 1 else different
+        phrases = {r["window"]: [bytes(w) for w in r["words"]] for r in part.collect()}
+        counts = term_frequencies(index, frozenset(t for words in phrases.values() for t in words)) if phrases else {}
+        by_rarest: dict[bytes, list] = {}
+        for window, words in phrases.items():
+            if all(t in counts for t in words):
+                ranked = sorted(((t, o) for o, t in enumerate(words)), key=lambda x: (counts[x[0]], x[1]))
+                by_rarest.setdefault(ranked[0][0], []).append((window, ranked))
+        vocabulary = frozenset(t for own in by_rarest.values() for _, phrase in own for t, _ in phrase)
+        hits = index.mapInArrow(_hits(spark.sparkContext.broadcast((by_rarest, vocabulary)), slop, k == 0), HITS)
         found = hits if found is None else found.unionByName(hits)
-    if passes == 1:
-        return found
-    merged = found.groupBy("block", "ordinal").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return merged.withColumns({"spans": F.array_sort("spans"), "items": F.array_distinct("items")})
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: words, words inside windows of items, the items, and the verdict (a twentieth of the words or more)."""
-    found = find_passages(build_index(docs), benchmark)
-    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
-    step = lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["total"] + F.greatest(s["b"] - F.greatest(acc["end"], s["a"]), F.lit(0))).alias("total"))
-    hit = F.aggregate("spans", zero, step, lambda acc: acc["total"])
-    rows = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"))
+    key = ["block", "ordinal"]
+    if passes > 1:
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("windows", "near_windows")]
+        found = found.groupBy(*key).agg(*[F.max(c).alias(c) for c in ("row", "doc_id", "n_words")], *[_union_of(c).alias(c) for c in ("spans", "near_spans")], *lists)
+    found = staged(found, "hits")
+    # Only documents with a window go through the join with items; the different items of each come back as one list.
+    marked = lambda c, near: F.transform(c, lambda w: F.struct(w.alias("window"), F.lit(near).alias("near")))
+    wins = found.filter("size(windows) + size(near_windows) > 0").select(*key, F.explode(F.concat(marked("windows", False), marked("near_windows", True))).alias("w")).select(*key, "w.*")
+    named = wins.join(windows.select("window", "item"), "window").groupBy(*key).agg(F.collect_set(F.when(~F.col("near"), F.col("item"))).alias("items"), F.collect_set(F.when(F.col("near"), F.col("item"))).alias("near_items"))
+    none = F.array().cast("array<string>")
+    joined = found.join(named, key, "left")
+    return joined.select("row", "doc_id", "n_words", "spans", F.array_sort(F.coalesce("items", none)).alias("items"), "near_spans", F.array_sort(F.coalesce("near_items", none)).alias("near_items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, slop: int = 0) -> DataFrame:
+    """Per document: words, words inside windows of items, the items, the verdict (a twentieth of the words or more), and with ``slop`` the items near which it comes."""
+    found = find_passages(build_index(docs), benchmark, slop)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
+    rows = found.select("row", "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.size("near_items").cast("long").alias("n_near_items"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    found = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), SLOP)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go."""
+    """Pipeline stage: contaminated documents go, each judged by its own text.
+
+    Rows are told apart by a digest of id and text, so a clean text that shares its id with a contaminated
+    one stays, and repeated rows stay or go together. A null text has no words and stays; an empty table
+    stays empty; ties do not arise. All columns pass unchanged: the stage's own column takes a name that
+    none of them has.
+    """
     found = decontaminate(docs, load(spark, sf_dir, "benchmark"))
-    gone = staged(found.filter("contaminated").select(F.col("doc_id").alias("_gone_id")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    gone = free_name(docs.columns, "_gone")
+    contaminated = staged(found.filter("contaminated").select(F.col("row").alias(gone)).distinct(), "contaminated")
+    return docs.join(contaminated, row_key() == F.col(gone), "left_anti")
