@@ -217,10 +217,10 @@ def contamination():
     return out
 
 
-@pytest.mark.parametrize(("tokens", "items"), [(400_000, 5_000), (700, 2)])
-def test_decontamination(spark, tables, monkeypatch, tokens, items):
+@pytest.mark.parametrize(("tokens", "windows"), [(400_000, 100_000), (700, 20)])
+def test_decontamination(spark, tables, monkeypatch, tokens, windows):
     monkeypatch.setattr(decontamination, "BLOCK_TOKENS", tokens)
-    monkeypatch.setattr(decontamination, "ITEMS", items)
+    monkeypatch.setattr(decontamination, "WINDOWS", windows)
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.op4_decontamination(spark, tables).collect()}
     want = contamination()
     assert got == want and sum(x[4] for x in want.values()) > 10
@@ -229,8 +229,40 @@ def test_decontamination(spark, tables, monkeypatch, tokens, items):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x one two gap three four y"), (2, "one two three four"), (3, "four three two one gone")], "doc_id long, text string")
     item = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
-    found = lambda slop: {r.doc_id for r in decontamination.find_passages(decontamination.build_index(docs), item, slop).collect() if r["items"]}
-    assert found(0) == {2} and found(1) == {1, 2}
+    index = decontamination.build_index(docs)
+    for slop, near in ((0, {}), (1, {1: [(1, 3), (4, 6)], 2: [(0, 4)]})):
+        rows = {r.doc_id: r for r in decontamination.find_passages(index, item, slop).collect()}
+        assert {i for i, r in rows.items() if r["items"]} == {2} and [tuple(s) for s in rows[2].spans] == [(0, 4)]
+        assert {i: [tuple(s) for s in r.near_spans] for i, r in rows.items() if r.near_items} == near
+
+
+def near_truth(words, phrase, slop):
+    """Positions of the words of all phrases whose terms stand in order near their places, by trying all starts."""
+    out = set()
+    for start in range(-slop, len(words) + slop):
+        at, before = [], -1
+        for k, term in enumerate(phrase):
+            here = next((p for p in range(max(before + 1, start + k - slop), min(len(words), start + k + slop + 1)) if words[p] == term), None)
+            if here is None:
+                break
+            at.append(here)
+            before = here
+        else:
+            out.update(at)
+    return out
+
+
+def test_proximity_by_brute_force(spark):
+    rng = random.Random(12)
+    docs = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40)))) for k in range(60)]
+    phrases = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randrange(2, 6)))) for k in range(8)]
+    index = decontamination.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = {r.doc_id: r for r in decontamination.find_passages(index, spark.createDataFrame(phrases, "item_id long, text string"), 2).collect()}
+    for k, text in docs:
+        words = text.split()
+        near = {str(i): near_truth(words, p.split(), 2) for i, p in phrases}
+        assert rows[k].near_items == sorted(i for i, at in near.items() if at)
+        assert {p for a, b in rows[k].near_spans for p in range(a, b)} == set().union(*near.values())
 
 
 def test_token_counts(spark, tables):
@@ -241,20 +273,52 @@ def test_token_counts(spark, tables):
         assert got[i] == (len((text or "").encode()), n, n > 2048)
 
 
-def test_every_prefix_has_its_count(spark, tables):
+ODD_TEXTS = ["Hello'S world's  <|endoftext|>END\x1cx 12ab é İstanbul ﬁ 日本 😀👍🏽", "", "  a  b ", "don't 'tis o''re x'll!'s '", "cafe\u0301 A\u030angĝ\u0323 \u1112\u1161\u11ab", "!!<|endoftext|>'s <|startoftext|><|endoftext|>a<|endof", "か\u3099" * 40 + " \u3099か", "a\u0323\u0301b" * 30, "x" * 300, "İİ'ſ ǅ ß ẞ", "a​b c　d e\x85f\x0bg"]
+
+
+def test_every_prefix_has_its_count():
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     counter = token_counts.PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
     count = lambda text: len(coder.encode(text, add_special_tokens=False).ids)
-    for text in ["Hello'S world's  <|endoftext|>END\x1cx 12ab é İstanbul ﬁ 日本 😀👍🏽", *[t for _, t, *_ in DOCS[:20]]]:
-        chunks, sums = counter.chunks(text), np.cumsum(counter.counts(text))
-        assert sums.tolist() == [count(" ".join(chunks[: k + 1])) for k in range(len(chunks))]
-    for word in ("tionouthand", "untokenizable", "aaaa"):
-        assert counter.word_prefixes(word) == [count(word[: k + 1]) for k in range(len(word))]
-        for budget in (0, 1, 2, 3):
-            end = counter.truncation(word, budget)
-            assert count(word[:end]) <= budget and (end == len(word) or count(word[: end + 1]) > budget or end == max(k for k in range(len(word) + 1) if count(word[:k]) <= budget))
-    stored = token_counts.token_prefix_counts(docs_of(spark, tables)).filter("doc_id = 0").select(token_counts.chunks_within(F.col("prefix_tokens"), 10).alias("n"), "prefix_tokens").first()
-    assert stored.n == sum(x <= 10 for x in stored.prefix_tokens)
+    rng = random.Random(3)
+    pieces = ["a", "e", "\u0301", "\u0323", "\u3099", "か", " ", "'", "s", "<|endoftext|>", "<|", "É", "\n", "1", "😀", "\u1100", "\u1161", "\u11a8", "ſ", "İ"]
+    odd = ODD_TEXTS + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    for text in [*odd, *[t for _, t, *_ in DOCS[:20]]]:
+        want = [count(text[:k]) for k in range(len(text) + 1)]
+        stored = token_counts.stored(counter.changes(text))
+        assert token_counts.running(stored).tolist() == want
+        for budget in (0, 1, 2, 5, 40):
+            assert token_counts.longest_prefix(stored, budget) == max(k for k, n in enumerate(want) if n <= budget)
+        for budget in (1, 7):
+            ends = token_counts.pieces_within(stored, budget)
+            assert [0, *ends] == sorted({0, *ends}) and (ends[-1] if ends else 0) == len(text)
+            assert all(want[b] - want[a] <= budget or b == a + 1 for a, b in zip([0, *ends], ends))
+
+
+def test_wide_changes():
+    changes = np.array([300, -200, 5], np.int32)
+    assert token_counts.running(token_counts.stored(changes)).tolist() == [0, 300, 100, 105]
+
+
+def test_budgets_encode_nothing(spark, tables, monkeypatch):
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    counted = token_counts.token_prefix_counts(docs_of(spark, tables), carry=("text",))
+    counted.write.parquet(f"{tables}/counted")
+    monkeypatch.setattr(token_counts, "PrefixCounter", None)  # from here on nothing can be encoded
+    kept = token_counts.within_budget(spark.read.parquet(f"{tables}/counted"), 12).collect()
+    assert len(kept) == len(DOCS)
+    for r in kept:
+        text = r.text or ""
+        fits = [k for k in range(min(len(text), 200) + 1) if len(coder.encode(text[:k], add_special_tokens=False).ids) <= 12]
+        assert r.kept_chars >= fits[-1] and len(coder.encode(text[: r.kept_chars], add_special_tokens=False).ids) <= 12
+        assert r.n_tokens == len(coder.encode(text, add_special_tokens=False).ids)
+
+
+def test_memory_of_chunks_is_bounded():
+    kept = token_counts.Remembered(10_000)
+    for k in range(2_000):
+        assert kept.get("x" * (k % 50) + str(k), len) == k % 50 + len(str(k))
+    assert kept.size <= 10_000 and len(kept.new) + len(kept.old) < 120
 
 
 def test_chat_round_trip(spark):
