@@ -116,6 +116,27 @@ def test_forecast_tables(scored):
     assert [r[0] for r in peaks] == [1]
 
 
+def test_regions_stay_apart(scored):
+    two = scored.withColumn("region_id", F.when(F.col("target_local_hour") < 12, "R0").otherwise("R1"))
+    made = forecast.build_all(two)
+    runs = made["forecast_run"].collect()
+    assert {(r.region_id, r.n_targets) for r in runs} == {("R0", 12), ("R1", 12)}
+    assert all(r.forecast_run_id.startswith(f"{r.region_id}__") for r in runs) and len({r.forecast_run_id for r in runs}) == len(runs)
+    run_of = {r.forecast_run_id: r.region_id for r in runs}
+    assert all(run_of[r.forecast_run_id] == r.region_id for r in made["forecast_prediction"].collect())
+    peaks = made["forecast_accuracy"].filter("is_peak").groupBy("region_id", "model", "target_local_date").count().select("region_id", "count").distinct().collect()
+    assert sorted(map(tuple, peaks)) == [("R0", 1), ("R1", 1)]
+    assert forecast.peak_hit(made["forecast_accuracy"]).filter("model = 'eia_df'").first().days == 2 * scored.select("target_local_date").distinct().count()
+
+
+def test_threshold_is_per_region(spark):
+    hours = [(r, datetime(2024, 1, 1) + timedelta(hours=k), float(k + 1000 * n), False, False, k % 24) for n, r in enumerate(("R0", "R1", "R2")) for k in range(48)]
+    silver = spark.createDataFrame(hours, "region_id string, event_timestamp_utc timestamp, actual_demand_mwh double, is_demand_anomaly_suspect boolean, is_above_historical_record boolean, local_hour int")
+    runs = spark.createDataFrame([("R0", date(2024, 1, 2)), ("R1", date(2024, 1, 3)), ("R1", None), ("R2", None)], "region_id string, training_data_end date")
+    found = {r.region_id: r.extreme_threshold_mwh for r in forecast.serving_threshold(silver, runs, 0.5).collect()}
+    assert found == {"R0": 12.0, "R1": 1023.5}
+
+
 def test_version_comes_from_the_predictions(scored):
     assert forecast.forecast_runs(scored.withColumn("model_version", F.lit("7"))).first().model_version == "7"
 
@@ -190,3 +211,29 @@ def test_registry(spark, data, tmp_path):
     loaded, rows = registry.load("m"), small(data)
     shuffled = rows.select("f2", "f1", *[c for c in rows.columns if c not in ("f1", "f2")]).withColumn("extra", F.lit(1))
     assert loaded.transform(shuffled).agg(F.sum("prediction_mwh")).first()[0] == pytest.approx(model.transform(rows).agg(F.sum("prediction_mwh")).first()[0])
+
+
+def test_a_ratio_model_comes_back_whole(spark, data, tmp_path):
+    rows = small(data).withColumn("level", F.lit(90000.0))
+    registry = Registry(spark, str(tmp_path))
+    model = models.GbtRatioModel("ratio", ["f1", "f2"], "level", rounds=2, depth=2).fit(rows)
+    registry.set_alias("m", registry.register("m", model, "first"))
+    loaded = registry.load("m")
+    assert isinstance(loaded, models.GbtRatioModel) and loaded.baseline == "level" and loaded.features == ["f1", "f2"]
+    mean = lambda m: m.transform(rows).agg(F.avg("prediction_mwh")).first()[0]
+    assert mean(loaded) == mean(model) > 50000
+    with pytest.raises(ValueError, match="lacks level"):
+        loaded.transform(rows.drop("level"))
+    with pytest.raises(ValueError, match="no model class"):
+        models.restored("m", ["f1"], {"class": "Other"}, model.fitted)
+
+
+def test_promotions_as_a_table(spark):
+    scores = spark.createDataFrame([(1, "a", 102.0), (1, "b", 100.0), (2, "a", 103.0), (2, "b", 100.0), (3, "a", 5.0)], "fold int, model string, MAE_mwh double")
+    assert {r.fold: r.promote for r in registry_promotions(scores).collect()} == {1: True, 2: False, 3: True}
+
+
+def registry_promotions(scores):
+    from tidemark.operators.registry import promotions
+
+    return promotions(scores, "a", "b", keys=("fold",))

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_backtest_registry import frame
-from tidemark.operators import models
+from tidemark.operators import features, models
 from tidemark.operators.registry import Registry
-from tidemark.plans import adapters, pipeline
+from tidemark.plans import adapters, pipeline, variants
 from tidemark.plans.daily import DailySettings, daily_tasks
 from tidemark.plans.refit import forecast_month, refit, split_holdout
 from tidemark.sources.landing import write_landing
@@ -53,3 +53,45 @@ def test_refit_and_forecast(spark, data, tmp_path):
     made = forecast_month(data, registry, "load")
     assert {r.model for r in made.select("model").distinct().collect()} == {"seasonal_naive", "eia_df", "load"}
     assert made.filter("model = 'load'").first().model_version == "2"
+
+
+def test_the_daily_run_serves_the_champion(spark, tmp_path):
+    if not os.path.isdir(DATA):
+        pytest.skip("no tables here")
+    landing = tmp_path / "landing"
+    blank = {c: F.lit(None).cast("string") for c in ("respondent_name", "type_name", "value_units", "source")}
+    write_landing(adapters.feed(spark, DATA).filter("period <> 'not-a-timestamp' and respondent is not null").withColumns(blank), str(landing / "feed"))
+    write_landing(adapters.weather(spark, DATA).filter("valid_timestamp_utc <> 'no time'"), str(landing / "weather"), "valid_timestamp_utc", ("region_id",))
+    settings = DailySettings(str(landing), str(tmp_path / "tables"), config=adapters.EVENTS, points=adapters.POINTS, registry=str(tmp_path / "registry"), model="load")
+    with pytest.raises(LookupError, match="load has no champion"):
+        pipeline.run(daily_tasks(spark, settings))
+    inputs = ["target_local_hour", "demand_same_hour_minus_7d"]
+    rows = spark.read.parquet(str(tmp_path / "tables" / "features"))
+    held = Registry(spark, settings.registry)
+    model = models.GbtModel("load", inputs, rounds=1, depth=2).fit(rows)
+    held.set_alias("load", held.register("load", model, "first", {"training_data_end": "2024-03-10"}))
+    pipeline.run(daily_tasks(spark, settings))
+    runs = spark.read.parquet(str(tmp_path / "tables" / "forecast_run"))
+    assert {r.model for r in runs.select("model").distinct().collect()} == {"seasonal_naive", "eia_df", "load"}
+    assert {r.region_id for r in runs.select("region_id").distinct().collect()} == {"R0", "R1", "R2"}
+    served = spark.read.parquet(str(tmp_path / "tables" / "forecast_accuracy"))
+    assert not served.filter("model = 'load' and extreme_threshold_mwh is not null").isEmpty()
+
+
+def test_variants(data):
+    found = variants.run_variants(data, ["f1", "f2"], "f1", window_months=2, min_train_months=4, rounds=1, depth=2)
+    assert {r.model for r in found.select("model").distinct().collect()} == {"eia_df", "xgb_b", "xgb_b_ratio", "xgb_b_slide2", "xgb_b_ratio_slide2"}
+    counts = found.groupBy("model").count().select("count").distinct().collect()
+    assert len(counts) == 1
+
+
+def test_lead_sensitivity(data):
+    rows = data.withColumns({"good": F.col("f1"), "early": F.col("f1")})
+    spec = lambda name, lead: features.FeatureSpec(name, features.Anchor.WEATHER, lead_days=lead)
+    make = lambda name, inputs: models.GbtModel(name, inputs, rounds=1, depth=2)
+    found = {r.model: r for r in variants.lead_sensitivity(rows, [spec("good", 2)], [spec("early", 1)], make=make, min_train_months=4).collect()}
+    assert set(found) == {"eia_df", "served", "rejected"} and found["eia_df"].gap_pct == 0 and found["served"].price_pct == pytest.approx(0)
+    with pytest.raises(ValueError, match="should reject"):
+        variants.lead_sensitivity(rows, [spec("good", 2)], [spec("early", 2)], make=make)
+    with pytest.raises(ValueError, match="not known at the cutoff"):
+        variants.lead_sensitivity(rows, [spec("good", 1)], [spec("early", 1)], make=make)

@@ -40,10 +40,15 @@ def by_regime(predictions: DataFrame) -> DataFrame:
     return by(predictions.withColumn("regime", regime(F.col("is_extreme"))), "regime")
 
 
+def display_place(order: list[str] = MODEL_ORDER) -> Column:
+    """A known model's place, or the one after all of them."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
+    return F.when(place > 0, place).otherwise(len(order) + 1)
+
+
 def display_order(scores: DataFrame, order: list[str] = MODEL_ORDER) -> DataFrame:
     """Known models in their fixed order, then the others by name."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
-    return scores.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), "model")
+    return scores.orderBy(display_place(order), "model")
 
 
 def versus(predictions: DataFrame, baseline: str = "eia_df") -> DataFrame:
@@ -111,13 +116,18 @@ def event_window(silver: DataFrame, start: str, end: str, reference_start: str,
     return shaped.filter(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def gate_score(model: Model, train: DataFrame, scored: DataFrame) -> dict[str, float]:
-    """Fit on ``train`` and score on one labelled holdout; empty or unlabelled input raises."""
+def gate_scores(model: Model, train: DataFrame, scored: DataFrame) -> DataFrame:
+    """Fit on ``train`` and score on one labelled holdout, as a row; empty or unlabelled input raises."""
     if train.isEmpty():
         raise ValueError("gate_score: no training row")
     if scored.isEmpty():
         raise ValueError("gate_score: no row to score")
     if not scored.filter(F.col(LABEL).isNull()).isEmpty():
         raise ValueError("gate_score: the holdout has rows without label")
-    row = model.fit(train).transform(scored).agg(*error_measures()).first()
-    return {"gate_holdout_mae": row["MAE_mwh"], "gate_holdout_mape_pct": row["MAPE_pct"], "gate_holdout_bias": row["bias_mwh"], "gate_holdout_rows": float(row["n"])}
+    row = model.fit(train).transform(scored).agg(*error_measures())
+    return row.select(F.lit(model.name).alias("model"), F.col("MAE_mwh").alias("gate_holdout_mae"), F.col("MAPE_pct").alias("gate_holdout_mape_pct"), F.col("bias_mwh").alias("gate_holdout_bias"), F.col("n").cast("double").alias("gate_holdout_rows"))
+
+
+def gate_score(model: Model, train: DataFrame, scored: DataFrame) -> dict[str, float]:
+    """``gate_scores`` as numbers for a registry."""
+    return gate_scores(model, train, scored).drop("model").first().asDict()

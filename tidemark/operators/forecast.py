@@ -10,18 +10,30 @@ from tidemark.functions.measures import absolute_percentage, clean_value, run_id
 from tidemark.operators.features import FLAGS, LABEL
 
 
+# Columns of the three forecast tables.
+RUN = ["forecast_run_id", "region_id", "cutoff_utc", "model", "model_version", "weather_lead_days", "training_data_end", "training_rows", "fold", "n_targets", "created_at"]
+PREDICTION = ["forecast_run_id", "region_id", "target_timestamp_utc", "target_local_date", "target_local_hour", "hours_ahead", "predicted_p50_mwh"]
+ACCURACY = ["forecast_run_id", "target_timestamp_utc", "region_id", "model", "hours_ahead", "hour_of_day", "forecast_mwh", "actual_mwh", "error_mwh", "absolute_error_mwh", "ape", "is_extreme", "is_peak", "is_weekend", "is_holiday", "target_local_date"]
+_RUN_KEY = ["region_id", "model", "cutoff_utc"]
+
+
+def _regional(rows: DataFrame, region: str) -> DataFrame:
+    """Rows that name no region are all of ``region``."""
+    own = F.coalesce("region_id", F.lit(region)) if "region_id" in rows.columns else F.lit(region)
+    return rows.withColumn("region_id", own)
+
+
 def forecast_runs(predictions: DataFrame, region: str = "R0", version: str | None = None, weather_lead_days: int = 2) -> DataFrame:
-    """One row per (model, cutoff). ``version`` overrides the predictions' own ``model_version``."""
+    """One row per (region, model, cutoff). ``version`` overrides the predictions' own ``model_version``; ``region`` names predictions without one."""
     own = F.lit(version) if version is not None else (F.max("model_version") if "model_version" in predictions.columns else F.lit("v1.0.0"))
-    runs = predictions.groupBy("model", "cutoff_utc").agg(F.min("train_end").alias("training_data_end"), F.min("train_rows").alias("training_rows"), F.min("fold").alias("fold"), F.count_distinct("target_timestamp_utc").alias("n_targets"), own.alias("model_version"))
-    runs = runs.withColumns({"region_id": F.lit(region), "weather_lead_days": F.lit(weather_lead_days), "created_at": F.current_timestamp()})
-    runs = runs.withColumn("forecast_run_id", run_id(F.col("region_id"), F.col("model"), F.col("model_version"), F.col("cutoff_utc")))
-    return runs.select("forecast_run_id", "region_id", "cutoff_utc", "model", "model_version", "weather_lead_days", "training_data_end", "training_rows", "fold", "n_targets", "created_at")
+    runs = _regional(predictions, region).groupBy(*_RUN_KEY).agg(F.min("train_end").alias("training_data_end"), F.min("train_rows").alias("training_rows"), F.min("fold").alias("fold"), F.count_distinct("target_timestamp_utc").alias("n_targets"), own.alias("model_version"))
+    runs = runs.withColumns({"weather_lead_days": F.lit(weather_lead_days), "created_at": F.current_timestamp()})
+    return runs.withColumn("forecast_run_id", run_id(F.col("region_id"), F.col("model"), F.col("model_version"), F.col("cutoff_utc"))).select(*RUN)
 
 
-def forecast_predictions(predictions: DataFrame, runs: DataFrame) -> DataFrame:
-    joined = predictions.join(runs.select("model", "cutoff_utc", "forecast_run_id"), ["model", "cutoff_utc"], "left")
-    return joined.select("forecast_run_id", "target_timestamp_utc", "target_local_date", "target_local_hour", "hours_ahead", F.col("prediction_mwh").alias("predicted_p50_mwh"))
+def forecast_predictions(predictions: DataFrame, runs: DataFrame, region: str = "R0") -> DataFrame:
+    joined = _regional(predictions, region).join(runs.select(*_RUN_KEY, "forecast_run_id"), _RUN_KEY, "left")
+    return joined.withColumnRenamed("prediction_mwh", "predicted_p50_mwh").select(*PREDICTION)
 
 
 def mark_peaks(rows: DataFrame, actual: str = "actual_mwh") -> DataFrame:
@@ -31,31 +43,38 @@ def mark_peaks(rows: DataFrame, actual: str = "actual_mwh") -> DataFrame:
     return rows.withColumn("is_peak", F.row_number().over(order) == 1)
 
 
+def _errors(rows: DataFrame) -> DataFrame:
+    error = signed_error("forecast_mwh", "actual_mwh")
+    return rows.withColumns({"error_mwh": error, "absolute_error_mwh": F.abs(error), "ape": absolute_percentage("forecast_mwh", "actual_mwh")})
+
+
 def backtest_accuracy(predictions: DataFrame, runs: DataFrame, region: str = "R0") -> DataFrame:
     """Errors of a backtest's predictions, where a label exists."""
-    scored = predictions.filter(F.col(LABEL).isNotNull() & F.col("prediction_mwh").isNotNull()).drop("region_id", "error_mwh", "ape")
-    joined = scored.join(runs.select("model", "cutoff_utc", "forecast_run_id"), ["model", "cutoff_utc"], "left")
-    renamed = joined.withColumnsRenamed({"prediction_mwh": "forecast_mwh", LABEL: "actual_mwh", "target_local_hour": "hour_of_day"}).withColumn("region_id", F.lit(region))
-    errors = renamed.withColumns({"error_mwh": signed_error("forecast_mwh", "actual_mwh"), "absolute_error_mwh": F.abs(signed_error("forecast_mwh", "actual_mwh")), "ape": absolute_percentage("forecast_mwh", "actual_mwh")})
-    return mark_peaks(errors).select("forecast_run_id", "target_timestamp_utc", "region_id", "model", "hours_ahead", "hour_of_day", "forecast_mwh", "actual_mwh", "error_mwh", "absolute_error_mwh", "ape", "is_extreme", "is_peak", "is_weekend", "is_holiday", "target_local_date")
+    scored = _regional(predictions, region).filter(F.col(LABEL).isNotNull() & F.col("prediction_mwh").isNotNull()).drop("error_mwh", "ape")
+    joined = scored.join(runs.select(*_RUN_KEY, "forecast_run_id"), _RUN_KEY, "left")
+    renamed = joined.withColumnsRenamed({"prediction_mwh": "forecast_mwh", LABEL: "actual_mwh", "target_local_hour": "hour_of_day"})
+    return mark_peaks(_errors(renamed)).select(*ACCURACY)
 
 
 def serving_threshold(silver: DataFrame, runs: DataFrame, quantile: float = DEFAULT.extreme_quantile) -> DataFrame:
-    """One row: the quantile of clean demand up to the newest training end. It stays a table, so nothing passes through the driver."""
-    end = runs.agg(F.max("training_data_end").cast("timestamp").alias("end"))
-    clean = silver.select("event_timestamp_utc", clean_value("actual_demand_mwh", *FLAGS).alias("demand")).filter("demand is not null")
-    return clean.join(end, F.col("event_timestamp_utc") <= F.col("end")).agg(F.percentile("demand", F.lit(quantile)).alias("extreme_threshold_mwh"))
+    """(region_id, extreme_threshold_mwh): per region, the quantile of clean demand up to the newest training end of its runs.
+
+    Regions meet their end in an equi-join, and equal values are counted before the quantile, so no
+    task holds more than the distinct values of a region."""
+    end = runs.groupBy("region_id").agg(F.max("training_data_end").cast("timestamp").alias("end"))
+    clean = silver.select("region_id", "event_timestamp_utc", clean_value("actual_demand_mwh", *FLAGS).alias("demand")).filter("demand is not null")
+    counted = clean.join(end, "region_id").filter("event_timestamp_utc <= end").groupBy("region_id", "demand").agg(F.count(F.lit(1)).alias("times"))
+    return counted.groupBy("region_id").agg(F.percentile("demand", F.lit(quantile), F.col("times")).alias("extreme_threshold_mwh"))
 
 
 def served_accuracy(predictions: DataFrame, runs: DataFrame, silver: DataFrame, quantile: float = DEFAULT.extreme_quantile) -> DataFrame:
-    """Predictions scored against clean actual values, with in-sample, extreme and peak flags. The region is part of the join."""
-    run = runs.select("forecast_run_id", "region_id", "model", "model_version", "training_data_end")
+    """Predictions scored against clean actual values, with in-sample, extreme and peak flags. The region is part of every join; without a training end there is no threshold."""
+    run = runs.select("forecast_run_id", "model", "model_version", "training_data_end")
     actual = silver.select("region_id", F.col("event_timestamp_utc").alias("target_timestamp_utc"), clean_value("actual_demand_mwh", *FLAGS).alias("actual_mwh"), F.col("local_hour").alias("hour_of_day")).filter("actual_mwh is not null")
     rows = predictions.join(run, "forecast_run_id").join(actual, ["region_id", "target_timestamp_utc"]).withColumnRenamed("predicted_p50_mwh", "forecast_mwh")
     seen = F.when(F.col("training_data_end").isNull(), F.lit(False)).otherwise(F.col("target_timestamp_utc") <= F.col("training_data_end").cast("timestamp"))
-    rows = rows.withColumns({"error_mwh": signed_error("forecast_mwh", "actual_mwh"), "absolute_error_mwh": F.abs(signed_error("forecast_mwh", "actual_mwh")), "ape": absolute_percentage("forecast_mwh", "actual_mwh"), "is_in_sample": seen})
-    one = serving_threshold(silver, runs, quantile)
-    return mark_peaks(rows.join(one, F.lit(True)).withColumn("is_extreme", F.col("actual_mwh") >= F.col("extreme_threshold_mwh")))
+    judged = _errors(rows).withColumn("is_in_sample", seen).join(serving_threshold(silver, runs, quantile), "region_id", "left")
+    return mark_peaks(judged.withColumn("is_extreme", F.col("actual_mwh") >= F.col("extreme_threshold_mwh")))
 
 
 def accuracy_summary(accuracy: DataFrame) -> DataFrame:
@@ -72,12 +91,12 @@ def report_measures(accuracy: DataFrame, benchmark: str = "eia_df") -> DataFrame
 
 
 def peak_hit(accuracy: DataFrame) -> DataFrame:
-    """Share of (model, day) whose predicted peak hour is the actual one."""
+    """Share of (region, model, day) whose predicted peak hour is the actual one, per model."""
     first = lambda c: F.max(F.struct(F.col(c), (-F.col("target_timestamp_utc").cast("long")).alias("t"), F.col("hour_of_day")))["hour_of_day"]
-    days = accuracy.groupBy("model", "target_local_date").agg(first("actual_mwh").alias("a"), first("forecast_mwh").alias("p"))
+    days = accuracy.groupBy("region_id", "model", "target_local_date").agg(first("actual_mwh").alias("a"), first("forecast_mwh").alias("p"))
     return days.groupBy("model").agg(F.count(F.lit(1)).alias("days"), share_of(F.col("a") == F.col("p")).alias("peak_hit_pct"))
 
 
 def build_all(predictions: DataFrame, region: str = "R0", version: str | None = None) -> dict[str, DataFrame]:
     runs = forecast_runs(predictions, region, version)
-    return {"forecast_run": runs, "forecast_prediction": forecast_predictions(predictions, runs), "forecast_accuracy": backtest_accuracy(predictions, runs, region)}
+    return {"forecast_run": runs, "forecast_prediction": forecast_predictions(predictions, runs, region), "forecast_accuracy": backtest_accuracy(predictions, runs, region)}

@@ -55,14 +55,14 @@ def add_local_time(rows: DataFrame, tz: str = DEFAULT.tz, time: str = TIME) -> D
 def over_stretches(rows: DataFrame, add: Callable[[WindowSpec], dict[str, Column]], before: int, after: int, keys: list[str] | None = None, time: str = TIME, hours: int = STRETCH_HOURS) -> DataFrame:
     """Add window columns whose frames reach at most ``before`` and ``after`` hours.
 
-    ``add`` gets the window, partitioned by keys and stretch and ordered by time. Rows near an edge
-    are copied into the neighbouring stretch for the computation and dropped after it.
+    ``add`` gets the window, partitioned by keys and stretch and ordered by time. A row is copied into
+    every stretch that its frames reach into, however far, and the copies are dropped afterwards.
     """
     keys = keys or [REGION]
     size = hours * 3600
     second = F.col(time).cast("long")
     own = F.floor(second / size)
-    reach = F.array_distinct(F.array(own, F.floor((second + before * 3600) / size), F.floor((second - after * 3600) / size)))
+    reach = F.sequence(F.floor((second - after * 3600) / size), F.floor((second + before * 3600) / size))
     spread = rows.withColumns({"_own": own, "_stretch": F.explode(reach)})
     by = Window.partitionBy(*keys, "_stretch").orderBy(time)
     return spread.withColumns(add(by)).filter("_own = _stretch").drop("_own", "_stretch")

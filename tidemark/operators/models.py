@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.features import BENCHMARK, LABEL
 
-SEED = 20260909
+SEED = 41
 
 
 class Model:
@@ -58,8 +58,17 @@ class GbtModel(Model):
         self.settings = {"maxIter": rounds, "maxDepth": depth, "stepSize": rate, "subsamplingRate": subsample, "minInstancesPerNode": min_instances, "seed": seed}
         self.fitted: PipelineModel | None = None
 
+    @property
+    def needed(self) -> list[str]:
+        """Columns without which ``transform`` cannot work."""
+        return self.features
+
+    def described(self) -> dict[str, str]:
+        """What, beside the fitted pipeline, makes this model again; ``restored`` reads it."""
+        return {"class": type(self).__name__}
+
     def prepared(self, rows: DataFrame) -> DataFrame:
-        missing = [f for f in self.features if f not in rows.columns]
+        missing = [f for f in self.needed if f not in rows.columns]
         if missing:
             raise ValueError(f"{self.name}: the input lacks {', '.join(missing)}")
         value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(self.MISSING))
@@ -102,9 +111,29 @@ class GbtRatioModel(GbtModel):
         super().__init__(name, features, **settings)
         self.baseline = baseline
 
+    @property
+    def needed(self) -> list[str]:
+        return [*self.features, *([self.baseline] if self.baseline not in self.features else [])]
+
+    def described(self) -> dict[str, str]:
+        return {**super().described(), "baseline": self.baseline}
+
     def target(self, rows: DataFrame) -> DataFrame:
         usable = rows.filter(F.col(LABEL).isNotNull() & (F.col(self.baseline) > 0))
         return usable.withColumn("_y", F.col(LABEL).cast("double") / F.col(self.baseline))
 
     def scaled(self):
         return F.col("_prediction") * F.col(self.baseline)
+
+
+def restored(name: str, features: list[str], described: dict[str, str], fitted: PipelineModel) -> GbtModel:
+    """A model from what ``described`` says and its fitted pipeline. An unknown class raises."""
+    kind = described.get("class", GbtModel.__name__)
+    if kind == GbtRatioModel.__name__:
+        model: GbtModel = GbtRatioModel(name, features, described["baseline"])
+    elif kind == GbtModel.__name__:
+        model = GbtModel(name, features)
+    else:
+        raise ValueError(f"{name}: no model class {kind}")
+    model.fitted = fitted
+    return model

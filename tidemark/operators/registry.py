@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.models import GbtModel
+from tidemark.operators.models import GbtModel, restored
 
 CHAMPION = "champion"
 TRAINED_THROUGH = "gate_model_trained_through"
@@ -44,6 +44,14 @@ def decide_promotion(candidate_mae: float, champion_mae: float | None, tolerance
     return PromotionVerdict(good, reason, candidate_mae, champion_mae)
 
 
+def promotions(scores: DataFrame, candidate: str, champion: str, tolerance_pct: float = 2.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``decide_promotion`` for each group of a table of scores (model, MAE_mwh, keys)."""
+    mae = lambda name: F.max(F.when(F.col("model") == name, F.col("MAE_mwh")))
+    pairs = scores.groupBy(*keys).agg(mae(candidate).alias("candidate_mae"), mae(champion).alias("champion_mae"))
+    good = F.col("candidate_mae") <= F.col("champion_mae") * (1 + tolerance_pct / 100)
+    return pairs.withColumn("promote", F.col("champion_mae").isNull() | good)
+
+
 def describe_comparison(candidate_through: str, incumbent_through: str | None) -> ComparisonBasis:
     """Two gate models say something about each other only if their training windows differ."""
     if incumbent_through is None:
@@ -74,7 +82,7 @@ class Registry:
         version = (last or 0) + 1
         path = f"{self.root}/models/{name}/{version}"
         model.fitted.write().overwrite().save(path)
-        own = {"model": model.name, "n_features": str(len(model.features)), "seed": str(model.seed), "settings": json.dumps(model.settings, sort_keys=True), **(params or {})}
+        own = {"model": model.name, **model.described(), "n_features": str(len(model.features)), "seed": str(model.seed), "settings": json.dumps(model.settings, sort_keys=True), **(params or {})}
         row = (name, version, run_name, model.features, own, {k: float(v) for k, v in (metrics or {}).items()}, path)
         schema = VERSIONS.rsplit(",", 1)[0]
         self.spark.createDataFrame([row], schema).withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/versions")
@@ -108,6 +116,4 @@ class Registry:
         held = self.aliased(name, alias)
         if held is None:
             raise LookupError(f"{name} has no {alias}")
-        model = GbtModel(held["params"]["model"], held["features"])
-        model.fitted = PipelineModel.load(held["model_path"])
-        return model
+        return restored(held["params"]["model"], held["features"], held["params"], PipelineModel.load(held["model_path"]))

@@ -7,16 +7,20 @@ as text. Spark and SQL results are cast by that one declaration.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
-from tidemark.operators import audit, backtest, daily, evaluate, features, forecast, hourly, models, profiling, quality, revisions, weather
+from tidemark.operators import audit, backtest, daily, evaluate, features, forecast, hourly, models, profiling, quality, registry, revisions, weather
 from tidemark.plans import adapters as a
 from tidemark.plans.silver import build_silver
-from tidemark.sources.tables import load
+from tidemark.plans.refit import split_holdout
+from tidemark.session import utc
+from tidemark.sources.tables import load, scratch
+from tidemark.streaming.ingest import hourly_counts, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,8 +34,8 @@ def query(columns: str, sql: str | None = None):
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return build(spark, sf_dir).select(*[_SPARK[kind](name).alias(name) for name, kind in pairs])
+            with utc(spark):
+                return build(spark, sf_dir).select(*[_SPARK[kind](name).alias(name) for name, kind in pairs])
 
         QUERIES[build.__name__] = shaped
         if sql is not None:
@@ -482,40 +486,49 @@ def training_bias(spark, sf_dir):
 
 # ---- forecast tables
 
+def regional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of three regions: the hours of a day are dealt to them in turn."""
+    return predictions(spark, sf_dir).withColumn("region_id", F.concat(F.lit("R"), F.expr("cast(target_local_hour div 4 % 3 as string)")))
+
+
 _RUNS_SQL = f"""{a.PREDICTIONS_SQL},
-runs AS (SELECT model, cutoff_utc, 'R0__' || model || '__v1.0.0__' || strftime(cutoff_utc, '%Y%m%dT%H%MZ') AS forecast_run_id, 'R0' AS region_id, 'v1.0.0' AS model_version, 2 AS weather_lead_days,
-                min(train_end) AS training_data_end, min(train_rows) AS training_rows, min(fold) AS fold, count(DISTINCT target_timestamp_utc) AS n_targets FROM predictions GROUP BY model, cutoff_utc)"""
+regional AS (SELECT * REPLACE ('R' || ((target_local_hour // 4) % 3) AS region_id) FROM predictions),
+runs AS (SELECT region_id, model, cutoff_utc, region_id || '__' || model || '__v1.0.0__' || strftime(cutoff_utc, '%Y%m%dT%H%MZ') AS forecast_run_id, 'v1.0.0' AS model_version, 2 AS weather_lead_days,
+                min(train_end) AS training_data_end, min(train_rows) AS training_rows, min(fold) AS fold, count(DISTINCT target_timestamp_utc) AS n_targets FROM regional GROUP BY region_id, model, cutoff_utc)"""
 
 
 @query("forecast_run_id:s region_id:s cutoff_utc:t model:s model_version:s weather_lead_days:i training_data_end:d training_rows:i fold:i n_targets:i", f"{_RUNS_SQL} ;; SELECT * FROM runs")
 def forecast_run(spark, sf_dir):
-    return forecast.forecast_runs(predictions(spark, sf_dir))
+    return forecast.forecast_runs(regional(spark, sf_dir))
+
 
+_RUN_OF = "r.region_id = p.region_id AND r.model = p.model AND r.cutoff_utc = p.cutoff_utc"
 
-@query("forecast_run_id:s target_timestamp_utc:t target_local_date:d target_local_hour:i hours_ahead:r predicted_p50_mwh:r", f"{_RUNS_SQL} ;; SELECT p.*, forecast_run_id, prediction AS predicted_p50_mwh FROM predictions p JOIN runs r ON p.model = r.model AND p.cutoff_utc = r.cutoff_utc")
+
+@query("forecast_run_id:s region_id:s target_timestamp_utc:t target_local_date:d target_local_hour:i hours_ahead:r predicted_p50_mwh:r", f"{_RUNS_SQL} ;; SELECT p.*, forecast_run_id, prediction AS predicted_p50_mwh FROM regional p JOIN runs r ON {_RUN_OF}")
 def forecast_prediction(spark, sf_dir):
-    made = predictions(spark, sf_dir)
+    made = regional(spark, sf_dir)
     return forecast.forecast_predictions(made, forecast.forecast_runs(made))
 
 
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = predictions(spark, sf_dir)
+    made = regional(spark, sf_dir)
     return forecast.backtest_accuracy(made, forecast.forecast_runs(made))
 
 
 _ACCURACY_SQL = f"""{_RUNS_SQL},
-acc AS (SELECT p.*, forecast_run_id, row_number() OVER (PARTITION BY p.model, target_local_date ORDER BY label DESC, target_timestamp_utc) = 1 AS is_peak
-        FROM predictions p JOIN runs r ON p.model = r.model AND p.cutoff_utc = r.cutoff_utc WHERE label IS NOT NULL AND prediction IS NOT NULL)"""
+acc AS (SELECT p.*, forecast_run_id, row_number() OVER (PARTITION BY p.region_id, p.model, target_local_date ORDER BY label DESC, target_timestamp_utc) = 1 AS is_peak
+        FROM regional p JOIN runs r ON {_RUN_OF} WHERE label IS NOT NULL AND prediction IS NOT NULL)"""
 
 
-@query("forecast_run_id:s target_timestamp_utc:t model:s hour_of_day:i forecast_mwh:r actual_mwh:r error_mwh:r absolute_error_mwh:r ape:r is_extreme:b is_peak:b", f"{_ACCURACY_SQL} ;; SELECT *, target_local_hour AS hour_of_day, prediction AS forecast_mwh, label AS actual_mwh, error AS error_mwh, abs_error AS absolute_error_mwh FROM acc")
+@query("forecast_run_id:s region_id:s target_timestamp_utc:t model:s hour_of_day:i forecast_mwh:r actual_mwh:r error_mwh:r absolute_error_mwh:r ape:r is_extreme:b is_peak:b", f"{_ACCURACY_SQL} ;; SELECT *, target_local_hour AS hour_of_day, prediction AS forecast_mwh, label AS actual_mwh, error AS error_mwh, abs_error AS absolute_error_mwh FROM acc")
 def forecast_accuracy(spark, sf_dir):
     return accuracy(spark, sf_dir)
 
 
 def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of silver hours, as a serving run would have left them: the lag of a week and the published forecast."""
-    rows = _feature_rows(spark, sf_dir).filter("region_id = 'R0'")
+    rows = _feature_rows(spark, sf_dir)
     both = F.explode(F.array(F.struct(F.lit("seasonal_naive").alias("model"), F.col("demand_same_hour_minus_7d").alias("p")), F.struct(F.lit("eia_df").alias("model"), F.col("benchmark_eia_df_mwh").alias("p"))))
     made = rows.withColumn("m", both).select("*", "m.model", F.col("m.p").alias("prediction_mwh")).drop("m")
     end = F.when(F.col("model") == "eia_df", F.lit(None)).otherwise(F.lit("2024-03-15")).cast("date")
@@ -525,17 +538,17 @@ def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SERVED_SQL = f"""{_FRAME},
-sp AS (SELECT f.*, 'seasonal_naive' AS model, {_at('target_timestamp_utc', 168)} AS forecast_mwh FROM frame f WHERE region_id = 'R0'
-       UNION ALL SELECT f.*, 'eia_df', {_at('target_timestamp_utc', 0, 'forecast')} FROM frame f WHERE region_id = 'R0'),
-th AS (SELECT quantile_cont(demand, 0.95) AS extreme_threshold_mwh FROM lookup WHERE h <= TIMESTAMP '2024-03-15' AND demand IS NOT NULL),
+sp AS (SELECT f.*, 'seasonal_naive' AS model, {_at('target_timestamp_utc', 168)} AS forecast_mwh FROM frame f
+       UNION ALL SELECT f.*, 'eia_df', {_at('target_timestamp_utc', 0, 'forecast')} FROM frame f),
+th AS (SELECT region_id, quantile_cont(demand, 0.95) AS extreme_threshold_mwh FROM lookup WHERE h <= TIMESTAMP '2024-03-15' AND demand IS NOT NULL GROUP BY region_id),
 served AS (SELECT sp.*, demand AS actual_mwh, forecast_mwh - demand AS error_mwh, abs(forecast_mwh - demand) AS absolute_error_mwh, abs(forecast_mwh - demand) / nullif(abs(demand), 0) AS ape,
                   model = 'seasonal_naive' AND target_timestamp_utc <= TIMESTAMP '2024-03-15' AS is_in_sample, extreme_threshold_mwh, demand >= extreme_threshold_mwh AS is_extreme,
-                  row_number() OVER (PARTITION BY model, target_local_date ORDER BY demand DESC, target_timestamp_utc) = 1 AS is_peak,
+                  row_number() OVER (PARTITION BY sp.region_id, model, target_local_date ORDER BY demand DESC, target_timestamp_utc) = 1 AS is_peak,
                   hour(timezone('{a.TZ}', timezone('UTC', target_timestamp_utc))) AS hour_of_day
-           FROM sp JOIN lookup x ON x.region_id = sp.region_id AND x.h = sp.target_timestamp_utc CROSS JOIN th WHERE forecast_mwh IS NOT NULL AND demand IS NOT NULL)"""
+           FROM sp JOIN lookup x ON x.region_id = sp.region_id AND x.h = sp.target_timestamp_utc LEFT JOIN th ON th.region_id = sp.region_id WHERE forecast_mwh IS NOT NULL AND demand IS NOT NULL)"""
 
 
-@query("model:s target_timestamp_utc:t forecast_mwh:r actual_mwh:r error_mwh:r ape:r is_in_sample:b extreme_threshold_mwh:r is_extreme:b is_peak:b", f"{_SERVED_SQL} ;; SELECT * FROM served")
+@query("region_id:s model:s target_timestamp_utc:t forecast_mwh:r actual_mwh:r error_mwh:r ape:r is_in_sample:b extreme_threshold_mwh:r is_extreme:b is_peak:b", f"{_SERVED_SQL} ;; SELECT * FROM served")
 def served_accuracy(spark, sf_dir):
     return _served(spark, sf_dir)
 
@@ -550,7 +563,7 @@ def bi_measures(spark, sf_dir):
     return forecast.report_measures(_served(spark, sf_dir))
 
 
-@query("model:s days:i peak_hit_pct:r", f"{_SERVED_SQL}, d AS (SELECT model, target_local_date, arg_max(hour_of_day, (actual_mwh, -epoch(target_timestamp_utc))) AS x, arg_max(hour_of_day, (forecast_mwh, -epoch(target_timestamp_utc))) AS y FROM served GROUP BY ALL) ;; SELECT model, count(*) AS days, 100.0 * avg((x = y)::INT) AS peak_hit_pct FROM d GROUP BY 1")
+@query("model:s days:i peak_hit_pct:r", f"{_SERVED_SQL}, d AS (SELECT region_id, model, target_local_date, arg_max(hour_of_day, (actual_mwh, -epoch(target_timestamp_utc))) AS x, arg_max(hour_of_day, (forecast_mwh, -epoch(target_timestamp_utc))) AS y FROM served GROUP BY ALL) ;; SELECT model, count(*) AS days, 100.0 * avg((x = y)::INT) AS peak_hit_pct FROM d GROUP BY 1")
 def peak_hit(spark, sf_dir):
     return forecast.peak_hit(_served(spark, sf_dir))
 
@@ -603,10 +616,55 @@ def yearly_coverage(spark, sf_dir):
     return profiling.yearly_coverage(silver(spark, sf_dir))
 
 
+# ---- long lags, gates and ingestion
+
+
+@query("region_id:s event_timestamp_utc:t demand:r demand_minus_100d:r demand_minus_365d:r", f"{a.ORDERS_SQL}, x AS (SELECT region_id, target_timestamp_utc AS h, label AS demand FROM features) ;; SELECT x.region_id, x.h AS event_timestamp_utc, x.demand, y.demand AS demand_minus_100d, z.demand AS demand_minus_365d FROM x LEFT JOIN x y ON y.region_id = x.region_id AND y.h = x.h - INTERVAL 2400 HOUR LEFT JOIN x z ON z.region_id = x.region_id AND z.h = x.h - INTERVAL 8760 HOUR WHERE x.demand IS NOT NULL")
+def yearly_lag(spark, sf_dir):
+    """Lags beyond one stretch of the window pass, on the hours of several years."""
+    hours = a.order_features(spark, sf_dir).select("region_id", F.col("target_timestamp_utc").alias("event_timestamp_utc"), F.col(features.LABEL).alias("actual_demand_mwh"))
+    flags = {"day_ahead_forecast_mwh": F.lit(None).cast("double"), **{name: F.lit(False) for name in features.FLAGS}}
+    whole = hourly.hour_spine(hours).join(hours, ["region_id", "event_timestamp_utc"], "left").withColumns(flags)
+    far = features.lagged(features.demand_lookup(whole), {"demand_minus_100d": ("demand", 2400), "demand_minus_365d": ("demand", 8760)})
+    return far.filter("demand is not null")
+
+
+@query("part:s rows:i first_date:d last_date:d trained_through:s", f"{a.ORDERS_SQL}, cut AS (SELECT date_trunc('month', max(forecast_date)) AS cut FROM features WHERE label IS NOT NULL), p AS (SELECT *, CASE WHEN forecast_date < cut THEN 'train' ELSE 'holdout' END AS part FROM features CROSS JOIN cut WHERE forecast_date < cut OR label IS NOT NULL) ;; SELECT part, count(*) AS rows, min(forecast_date) AS first_date, max(forecast_date) AS last_date, (SELECT strftime(max(forecast_date), '%Y-%m-%d') FROM p WHERE part = 'train') AS trained_through FROM p GROUP BY part")
+def holdout_split(spark, sf_dir):
+    train, holdout, through = split_holdout(a.order_features(spark, sf_dir))
+    parts = train.withColumn("part", F.lit("train")).unionByName(holdout.withColumn("part", F.lit("holdout")))
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("forecast_date").alias("first_date"), F.max("forecast_date").alias("last_date")).withColumn("trained_through", F.lit(through))
+
+
+@query("model:s gate_holdout_mae:r gate_holdout_mape_pct:r gate_holdout_bias:r gate_holdout_rows:r", f"{a.ORDERS_SQL}, cut AS (SELECT date_trunc('month', max(forecast_date)) AS cut FROM features WHERE label IS NOT NULL) ;; SELECT 'seasonal_naive' AS model, avg(abs(naive - label)) AS gate_holdout_mae, 100 * avg(abs(naive - label) / abs(label)) AS gate_holdout_mape_pct, avg(naive - label) AS gate_holdout_bias, count(*) AS gate_holdout_rows FROM features CROSS JOIN cut WHERE forecast_date >= cut AND label IS NOT NULL")
+def gate_score(spark, sf_dir):
+    train, holdout, _ = split_holdout(a.order_features(spark, sf_dir))
+    return evaluate.gate_scores(models.seasonal_naive(), train, holdout)
+
+
+@query("fold:i candidate_mae:r champion_mae:r promote:b", f"{a.SCORED_SQL}, m AS (SELECT fold, avg(CASE WHEN model = 'seasonal_naive' THEN abs_error END) AS candidate_mae, avg(CASE WHEN model = 'eia_df' THEN abs_error END) AS champion_mae FROM scored GROUP BY fold) ;; SELECT *, champion_mae IS NULL OR candidate_mae <= 1.02 * champion_mae AS promote FROM m")
+def promotion_rule(spark, sf_dir):
+    return registry.promotions(evaluate.by(scored(spark, sf_dir), "fold"), "seasonal_naive", "eia_df", keys=("fold",))
+
+
+@query("place:i model:s MAE_mwh:r", f"{a.SCORED_SQL}, o AS (SELECT model, avg(abs_error) AS MAE_mwh FROM scored GROUP BY 1) ;; SELECT row_number() OVER (ORDER BY CASE model WHEN 'seasonal_naive' THEN 1 WHEN 'eia_df' THEN 2 ELSE 9 END, model) AS place, * FROM o")
+def display_order(spark, sf_dir):
+    ordered = evaluate.display_order(evaluate.overall(scored(spark, sf_dir)))
+    return ordered.withColumn("place", F.row_number().over(Window.orderBy(evaluate.display_place(), "model")))
+
+
+@query("event_type:s rows:i event_ids:i rows_of_second_run:i", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS event_ids, 0 AS rows_of_second_run FROM events GROUP BY 1")
+def stream_ingest_rows(spark, sf_dir):
+    """The events file as a landing tree, streamed twice into a table: the second run adds nothing."""
+    place = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    ingested = [ingest(spark, f"{sf_dir}/event[s].parquet", schema, f"{place}/bronze", f"{place}/checkpoint") for _ in range(2)]
+    rows = spark.read.parquet(f"{place}/bronze").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("event_ids"))
+    return rows.withColumn("rows_of_second_run", F.lit(ingested[1]))
+
+
 @query("event_type:s hour:t n:i cents:i", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY ALL")
 def tumbling_hours(spark, sf_dir):
-    from tidemark.streaming.ingest import hourly_counts
-
     return hourly_counts(load(spark, sf_dir, "events"))
 
 

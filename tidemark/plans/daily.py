@@ -11,9 +11,11 @@ from tidemark.config import DEFAULT, FeedConfig
 from tidemark.functions.calendar import contract_frame
 from tidemark.operators.audit import leakage_gate
 from tidemark.operators.daily import daily_summary, peak_history
-from tidemark.operators.features import KNOWN_LEAKY, LABEL, MODEL_A, MODEL_B, build_features
+from tidemark.operators.features import KNOWN_LEAKY, LABEL, MODEL_A, build_features, weather_specs
 from tidemark.operators.forecast import forecast_predictions, forecast_runs, served_accuracy
+from tidemark.operators.registry import Registry
 from tidemark.operators.weather import build_weather
+from tidemark.plans.extract import ExtractSettings, extract
 from tidemark.plans.pipeline import DAILY_CHECKS, Task
 from tidemark.plans.refit import forecast_month
 from tidemark.plans.silver import build_silver
@@ -23,14 +25,22 @@ from tidemark.streaming.ingest import ingest
 
 @dataclass(frozen=True)
 class DailySettings:
-    """Where landed files lie (``feed`` and ``weather`` below ``landing``) and where tables go."""
+    """Where landed files lie (``feed`` and ``weather`` below ``landing``) and where tables go.
+
+    ``region`` narrows the forecast to one region. With ``registry`` (a path) the champion of
+    ``model`` is served beside the baselines, and a run without a champion fails. ``extract`` fetches
+    before anything is read; without it the files that are there are counted.
+    """
 
     landing: str
     tables: str
-    region: str = "R0"
+    region: str | None = None
     config: FeedConfig = field(default_factory=lambda: DEFAULT)
     points: list[str] | None = None
     warm_up_days: int = 14
+    registry: str | None = None
+    model: str = "xgb_b"
+    extract: ExtractSettings | None = None
 
 
 def daily_tasks(spark: SparkSession, settings: DailySettings) -> list[Task]:
@@ -42,7 +52,11 @@ def daily_tasks(spark: SparkSession, settings: DailySettings) -> list[Task]:
         rows.write.mode("overwrite").parquet(at(name))
         return read(name).count()
 
+    specs = [*MODEL_A, *weather_specs(points=settings.points)]
+
     def landed(_: dict) -> dict:
+        if settings.extract is not None:
+            return extract(spark, settings.landing, settings.extract)
         return {k: {"rows": spark.read.schema(s).parquet(f"{settings.landing}/{k}").count()} for k, s in kinds.items()}
 
     def bronze(_: dict) -> dict:
@@ -62,17 +76,19 @@ def daily_tasks(spark: SparkSession, settings: DailySettings) -> list[Task]:
         hours = read("electricity_hourly")
         ends = hours.agg(F.date_add(F.to_date(F.min("event_timestamp_utc")), settings.warm_up_days).alias("a"), F.date_sub(F.to_date(F.max("event_timestamp_utc")), 1).alias("b")).first()
         frame = contract_frame(spark, str(ends["a"]), str(ends["b"]), settings.config.tz, settings.config.cutoff_local_hour)
-        rows = write(build_features(hours, frame, read("weather_hourly"), MODEL_B, tz=settings.config.tz, points=settings.points), "features")
+        rows = write(build_features(hours, frame, read("weather_hourly"), specs, tz=settings.config.tz, points=settings.points), "features")
         return {"rows": rows, "labelled": read("features").filter(F.col(LABEL).isNotNull()).count()}
 
     def audit(_: dict) -> dict:
-        done = leakage_gate(read("features"), MODEL_A if settings.points else MODEL_B, KNOWN_LEAKY, settings.config)
+        done = leakage_gate(read("features"), specs, KNOWN_LEAKY, settings.config)
         return {"pairs": done["checks"], "violations": done["violations"], "known_leaky_caught": done["known_leaky_caught"]}
 
     def forecast(_: dict) -> dict:
-        made = forecast_month(read("features").filter(F.col("region_id") == settings.region))
-        runs = forecast_runs(made, settings.region)
-        write(runs, "forecast_run")
+        rows = read("features")
+        rows = rows if settings.region is None else rows.filter(F.col("region_id") == settings.region)
+        held = settings.registry and Registry(spark, settings.registry)
+        made = forecast_month(rows, held or None, settings.model if held else None)
+        write(forecast_runs(made), "forecast_run")
         return {"predictions": write(forecast_predictions(made, read("forecast_run")), "forecast_prediction")}
 
     def accuracy(_: dict) -> dict:

@@ -58,6 +58,8 @@ def refit(features: DataFrame, registry: Registry, name: str, make: Callable[[st
 
 def forecast_month(features: DataFrame, registry: Registry | None = None, name: str | None = None, baselines: tuple[Model, ...] | None = None) -> DataFrame:
     """Predictions of the newest month by the champion and the baselines, with the columns that forecast tables need. A named model without champion, or a champion that does not say what it was trained on, raises."""
+    if name is not None and registry is None:
+        raise ValueError(f"{name}: no registry to take its champion from")
     day = F.to_date("forecast_date")
     newest = features.agg(F.trunc(F.max(day), "MM").alias("_first"))
     rows = features.join(newest, day >= F.col("_first")).drop("_first")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import SparkSession
 
 
@@ -25,3 +27,14 @@ def require_utc(spark: SparkSession) -> None:
     zone = spark.conf.get("spark.sql.session.timeZone")
     if zone not in ("UTC", "Etc/UTC", "GMT", "+00:00", "Z"):
         raise ValueError(f"spark.sql.session.timeZone is {zone!r}; it must be UTC")
+
+
+@contextlib.contextmanager
+def utc(spark: SparkSession):
+    """Plans made inside use UTC; the session's own time zone is put back afterwards. Expressions keep the zone they were made in."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

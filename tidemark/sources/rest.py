@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import importlib
 import time
+import warnings
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
@@ -48,16 +49,19 @@ def query(start: str, end: str, types: list[str], respondent: str, offset: int,
 
 
 def pages(transport: Callable[[dict], dict], start: str, end: str, types: list[str], respondent: str, page: int = PAGE, sleep: Callable[[float], None] = time.sleep) -> Iterator[list[dict]]:
-    """Pages until the announced total, an empty page or a short one."""
-    seen = 0
+    """Pages until the total that the first answer announces, an empty page or a short one. Fewer or more rows than announced give a warning."""
+    seen, total = 0, None
     while True:
         answer = call(transport, query(start, end, types, respondent, seen, min(page, PAGE)), sleep)["response"]
+        total = int(answer.get("total", 0)) if total is None else total
         rows = answer.get("data") or []
         if rows:
             yield rows
         seen += len(rows)
-        if len(rows) < min(page, PAGE) or seen >= int(answer.get("total", 0)):
-            return
+        if len(rows) < min(page, PAGE) or seen >= total:
+            break
+    if seen != total:
+        warnings.warn(f"{start} to {end}: {seen} rows of {total} announced", stacklevel=2)
 
 
 def months(start: date, end: date) -> list[tuple[str, str]]:

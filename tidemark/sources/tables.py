@@ -42,3 +42,9 @@ def read(spark: SparkSession, path: str, fmt: str = FORMAT) -> DataFrame:
 def export_single(rows: DataFrame, path: str) -> None:
     """One file, for small results only: all rows pass through one task."""
     rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: ``spark.checkpoint.dir``, or the warehouse where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

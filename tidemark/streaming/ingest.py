@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.landing import with_file_columns
 from tidemark.sources.tables import FORMAT
 
 
-def stream_landing(spark: SparkSession, root: str, schema: str, max_files: int | None = None) -> DataFrame:
+def stream_landing(spark: SparkSession, root: str, schema: str | T.StructType, max_files: int | None = None) -> DataFrame:
     """New files of a landing tree. A file stream needs a declared schema; to add columns, restart with a wider one."""
     reader = spark.readStream.schema(schema)
     if max_files:
@@ -17,8 +18,18 @@ def stream_landing(spark: SparkSession, root: str, schema: str, max_files: int |
     return reader.parquet(root)
 
 
-def ingest(spark: SparkSession, root: str, schema: str, target: str, checkpoint: str, fmt: str = FORMAT) -> int:
-    """Append all files not seen before, each once, and stop. Gives the rows added, counted from the table."""
+def landed_schema(spark: SparkSession, root: str) -> T.StructType:
+    """The merged schema of all files of a landing tree: given at each start, it widens the stream by new columns."""
+    return spark.read.option("mergeSchema", "true").parquet(root).schema
+
+
+def ingest(spark: SparkSession, root: str, schema: str | T.StructType | None, target: str, checkpoint: str, fmt: str = FORMAT) -> int:
+    """Append all files not seen before, each once, and stop. Gives the rows added, counted from the table.
+
+    Without a schema, that of the landed files at this start is taken; the checkpoint stays valid, and
+    earlier rows read NULL in columns that came later (``tables.read`` merges the schemas).
+    """
+    schema = landed_schema(spark, root) if schema is None else schema
     before = _rows(spark, target, fmt)
     query = with_file_columns(stream_landing(spark, root, schema)).writeStream.format(fmt).option("checkpointLocation", checkpoint).option("path", target).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
