@@ -388,7 +388,9 @@ def repeats(docs, size):
 
 
 def suffix_result(rows):
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows.collect()}
+    found = rows.collect()
+    assert len(found) == len({r.doc_id for r in found})
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
 
 
 def test_suffix_dedup(spark, tables):

@@ -465,7 +465,7 @@ def passage_rows(texts: DataFrame, shared: DataFrame, starts: DataFrame) -> Data
     holders = staged(shared.join(hot, "gram", "left_semi").select("row", "gram").distinct(), "holders")
     found = staged(texts_with(texts, holders, "gram").mapInArrow(_passage_digests, "row long, digest long, n long"), "passages")
     twice = staged(found.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest"), "twice")
-    return found.join(twice, "digest", "left_semi").select("row").distinct()
+    return found.join(twice, "digest", "left_semi").select("row").distinct().join(starts.select("row"), "row", "left_anti")
 
 
 def covered(size: int, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
