@@ -4,9 +4,14 @@ Signals of each text are compared with fences that come from mergeable quantile
 language and source instead of fixed cutoffs. A sketch is a histogram of integer buckets with a
 bounded relative width (1/32), as in high-dynamic-range histograms: counts add up, so sketches of
 sources merge into those of a language and of the corpus, partial aggregation builds them before any
-shuffle, and the result does not depend on the order of rows. A source with few documents uses its
-language's fences, a language with few documents the corpus'. Fences are joined back to the signals,
-never to the texts.
+shuffle, and the result does not depend on the order of rows. Every source has quantiles of its own at
+any size: they are drawn towards its language's, and those towards the corpus', as if the wider group
+had ``PRIOR`` documents more in the narrower one. So a verdict does not jump when a source grows, and
+one document alone sets no fence. Fences are joined back to the signals, never to the texts.
+
+A fence lies REACH times the distance of the outer decile from the median beyond that decile, and at
+least one step of the signal's own resolution: where nearly all documents have the same value, the
+distance is nothing and a single symbol or line would be beyond it.
 
 Defined cases: a null text has no words and fails the base rule; null language or source is a group
 of its own (with the empty string); repeated rows count and appear once each; an empty table gives
@@ -28,13 +33,12 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A group with fewer documents than this uses the sketch one level up.
-LEAST_DOCUMENTS = 200
+#: Documents that a group's quantiles borrow from the group one level up.
+PRIOR = 200
 #: Distance of a fence from the outer decile, in distances of that decile from the median.
 REACH = 3
-#: signal: (its least distance of the fence from the decile, whether it has a lower fence)
-SIGNALS: dict[str, tuple[int, bool]] = {"word_length": (150, True), "symbol_rate": (100, False), "dup_line_rate": (150, False), "repeat_rate": (250, False)}
-METRICS = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: signal: (its resolution, whether it has a lower fence). Word length counts hundredths of a character, symbols and repeated words thousandths of the words, duplicate lines thousandths of the lines.
+SIGNALS: dict[str, tuple[int, bool]] = {"word_length": (150, True), "symbol_rate": (100, False), "dup_line_rate": (200, False), "repeat_rate": (150, False)}
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -76,15 +80,15 @@ def text_metrics(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), repeated_words(words).cast("long").alias("n_repeat_words"))
 
     worded = F.filter(F.split(text, "\n"), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0)
-    duplicates = let(worded, lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
+    lines = let(worded, lambda own: F.struct(F.size(own).cast("long").alias("n_lines"), (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines")))
     return docs.select(
         F.col("doc_id"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
         let(words_of(text), of).alias("words"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        duplicates.cast("long").alias("n_dup_lines"),
-    ).select("doc_id", "lang", "source", "words.n_words", "words.word_chars", "n_symbols", "n_dup_lines", "words.n_repeat_words")
+        lines.alias("lines"),
+    ).select("doc_id", "lang", "source", "words.n_words", "words.word_chars", "n_symbols", "lines.n_lines", "lines.n_dup_lines", "words.n_repeat_words")
 
 
 def base_failed() -> Column:
@@ -93,8 +97,8 @@ def base_failed() -> Column:
 
 def signal(name: str) -> Column:
     """Integer signals, so that sketches are exact sums."""
-    rate = lambda column, times: F.expr(f"({times} * {column}) div greatest(n_words, 1)")
-    return {"word_length": rate("word_chars", 100), "symbol_rate": rate("n_symbols", 1000), "dup_line_rate": rate("n_dup_lines", 1000), "repeat_rate": rate("n_repeat_words", 1000)}[name]
+    rate = lambda column, times, of="n_words": F.expr(f"({times} * {column}) div greatest({of}, 1)")
+    return {"word_length": rate("word_chars", 100), "symbol_rate": rate("n_symbols", 1000), "dup_line_rate": rate("n_dup_lines", 1000, "n_lines"), "repeat_rate": rate("n_repeat_words", 1000)}[name]
 
 
 def bucket(value: Column) -> Column:
@@ -118,17 +122,19 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <signal>_lo, <signal>_hi): per source, else per language, else of the corpus."""
+    """(lang, source, <signal>_lo, <signal>_hi) from quantiles per source, drawn towards those of the language and of the corpus."""
     by_lang = sketch.groupBy("lang", "signal", "bucket").agg(F.sum("n").alias("n"))
     corpus = by_lang.groupBy("signal", "bucket").agg(F.sum("n").alias("n"))
-    names = ("q10", "q50", "q90", "n")
-    narrow = quantiles(sketch, ["lang", "source"])
-    middle = quantiles(by_lang, ["lang"]).select("lang", "signal", *[F.col(c).alias(f"lang_{c}") for c in names])
-    wide = quantiles(corpus, []).select("signal", *[F.col(c).alias(f"all_{c}") for c in names])
+
+    def edges(rows: DataFrame, prefix: str) -> DataFrame:
+        values = {"q10": bucket_edge(F.col("q10"), False), "q50": bucket_edge(F.col("q50"), False), "q90": bucket_edge(F.col("q90"), True), "n": F.col("n")}
+        return rows.withColumns({f"{prefix}{q}": value for q, value in values.items()}).drop(*([*values] if prefix else []))
+
+    narrow = edges(quantiles(sketch, ["lang", "source"]), "")
+    middle, wide = edges(quantiles(by_lang, ["lang"]), "lang_"), edges(quantiles(corpus, []), "all_")
     joined = narrow.join(middle, ["lang", "signal"]).join(wide, "signal")
-    own, lang = F.col("n") >= LEAST_DOCUMENTS, F.col("lang_n") >= LEAST_DOCUMENTS
-    pick = lambda c: F.when(own, F.col(c)).when(lang, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-    chosen = joined.select("lang", "source", "signal", bucket_edge(pick("q10"), False).alias("q10"), bucket_edge(pick("q50"), False).alias("q50"), bucket_edge(pick("q90"), True).alias("q90"))
+    drawn = lambda q: f"(n * {q} + {PRIOR} * ((lang_n * lang_{q} + {PRIOR} * all_{q}) div (lang_n + {PRIOR}))) div (n + {PRIOR})"
+    chosen = joined.select("lang", "source", "signal", *[F.expr(drawn(q)).alias(q) for q in ("q10", "q50", "q90")])
     out = []
     for name, (least, lower) in SIGNALS.items():
         mine = F.col("signal") == name
@@ -150,7 +156,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             inside = inside & F.coalesce(F.col(name) >= F.col(f"{name}_lo"), F.lit(True))
     # Written, so that its size is known: a small table is broadcast, a large one joined with skew handling.
     judged = measured.join(staged(fences(sketch), "fences"), ["lang", "source"], "left")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), *SIGNALS)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "n_lines", *SIGNALS)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +179,9 @@ def _edge_sql(column: str, upper: bool) -> str:
 
 def _sql() -> str:
     blank = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    picks = ", ".join(f"CASE WHEN a.n >= {LEAST_DOCUMENTS} THEN a.{q} WHEN b.n >= {LEAST_DOCUMENTS} THEN b.{q} ELSE c.{q} END::BIGINT AS {q}" for q in ("q10", "q50", "q90"))
+    edge = lambda t, q: _edge_sql(f"{t}.{q}", q == "q90")
+    drawn = lambda q: f"((a.n * {edge('a', q)} + {PRIOR} * ((b.n * {edge('b', q)} + {PRIOR} * {edge('c', q)}) // (b.n + {PRIOR}))) // (a.n + {PRIOR}))::BIGINT"
+    picks = f"{drawn('q10')} AS lo10, {drawn('q50')} AS lo50, {drawn('q90')} AS hi90"
     bounds, inside = [], []
     for name, (least, lower) in SIGNALS.items():
         if lower:
@@ -189,21 +197,20 @@ win AS (SELECT doc_id, p, list_aggregate(ws[p:p+7], 'string_agg', chr(32)) AS wi
 twice AS (SELECT doc_id, win FROM win GROUP BY ALL HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT win.doc_id, unnest(range(p, p + 8)) AS pos FROM win JOIN twice USING (doc_id, win)) GROUP BY 1),
 m AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(list_aggregate(ws, 'string_agg', ''))::BIGINT AS wc,
-             len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+             len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT * EXCLUDE (wc), coalesce(wc, 0)::BIGINT AS word_chars, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
 d AS (SELECT *, (100 * word_chars) // greatest(n_words, 1) AS word_length, (1000 * n_symbols) // greatest(n_words, 1) AS symbol_rate,
-             (1000 * n_dup_lines) // greatest(n_words, 1) AS dup_line_rate, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeat_rate FROM b),
+             (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_line_rate, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeat_rate FROM b),
 v AS (UNPIVOT (SELECT lang, source, word_length, symbol_rate, dup_line_rate, repeat_rate FROM d WHERE NOT base_failed) ON {', '.join(SIGNALS)} INTO NAME signal VALUE value),
 k AS (SELECT lang, source, signal, greatest(length(bin(value)) - 6, 0) * 32 + (value >> greatest(length(bin(value)) - 6, 0)) AS bucket FROM v),
 sk AS (SELECT lang, source, signal, bucket, count(*) AS n FROM k GROUP BY ALL),
 skl AS (SELECT lang, signal, bucket, sum(n) AS n FROM sk GROUP BY ALL),
 ska AS (SELECT signal, bucket, sum(n) AS n FROM skl GROUP BY ALL),
 qs AS ({_quantiles_sql('lang, source', 'sk')}), ql AS ({_quantiles_sql('lang', 'skl')}), qa AS ({_quantiles_sql('', 'ska')}),
-pick AS (SELECT a.lang, a.source, a.signal, {picks} FROM qs a JOIN ql b ON a.lang = b.lang AND a.signal = b.signal JOIN qa c ON a.signal = c.signal),
-edge AS (SELECT lang, source, signal, {_edge_sql('q10', False)} AS lo10, {_edge_sql('q50', False)} AS lo50, {_edge_sql('q90', True)} AS hi90 FROM pick),
+edge AS (SELECT a.lang, a.source, a.signal, {picks} FROM qs a JOIN ql b ON a.lang = b.lang AND a.signal = b.signal JOIN qa c ON a.signal = c.signal),
 f AS (SELECT lang, source, {', '.join(bounds)} FROM edge GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(inside)} AS kept, {', '.join(SIGNALS)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(inside)} AS kept, n_lines, {', '.join(SIGNALS)}
 FROM d LEFT JOIN f USING (lang, source)
 """
 
