@@ -3,9 +3,11 @@
 A forward and a backward GRU read windows of ``SPAN`` bytes that cover the whole text; each byte
 gets a distribution over the learned languages from both states, and a document's distribution is
 the mean over all its bytes. The network is trained on the driver in numpy, by backpropagation
-through time and Adam, on windows drawn from at most ``TRAIN_DOCUMENTS`` documents a language
-(a bounded, documented sample that depends on document ids alone, never on folds held out). Weights
-are a few kilobytes and travel with the tasks; prediction sees the text only.
+through time and Adam, on at most ``TRAIN_DOCUMENTS`` labelled rows a language: a bounded sample, drawn
+by the hash of id and text, never from the fold held out, in which rows that agree in both count once.
+The driver holds those rows' whole texts, cut into windows; each step draws documents and then windows
+of them, so every part of a text may be learned from. Weights are a few kilobytes and travel with the
+tasks; prediction sees the text only.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null document id is
 not held out and never trained on; without labelled documents every text is ``und``; repeated rows
@@ -20,14 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, sliced
+from tidemark.llm.common import load, row_key, sliced, staged
 
 FOLDS = 5
 TRAIN_DOCUMENTS = 300
-TRAIN_WINDOWS = 4
 TRAIN_SPAN = 48
 STATE = 8
 STEPS = 400
@@ -143,16 +144,23 @@ def gradients(net: Network, lanes: np.ndarray, target: np.ndarray, weight: np.nd
     return loss, [*g_table, *g_state, g_out, g_bias]
 
 
-def train(windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, langs: list[str], seed: int = 11, steps: int = STEPS) -> Network:
-    """Adam over balanced batches. ``windows`` is (window, position), padded with spaces beyond ``lengths``."""
+def train(windows: np.ndarray, lengths: np.ndarray, owners: np.ndarray, labels: np.ndarray, langs: list[str], seed: int = 11, steps: int = STEPS) -> Network:
+    """Adam over balanced batches: a language's share of a batch is drawn from its documents, and a window of each.
+
+    ``windows`` is (window, position), padded with spaces beyond ``lengths``; ``owners`` is the document
+    of each window, in order, and ``labels`` the language of each document.
+    """
     rng = np.random.default_rng(seed)
     net = fresh(langs, rng)
     first, second = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
     rows = [np.flatnonzero(labels == k) for k in range(len(langs))]
+    begins = np.searchsorted(owners, np.arange(len(labels)))
+    sizes = np.searchsorted(owners, np.arange(len(labels)), side="right") - begins
     for step in range(1, steps + 1):
-        chosen = np.concatenate([rng.choice(own, max(1, BATCH // len(langs))) for own in rows])
+        docs = np.concatenate([rng.choice(own, max(1, BATCH // len(langs))) for own in rows])
+        chosen = begins[docs] + rng.integers(0, sizes[docs])
         weight = (np.arange(windows.shape[1])[:, None] < lengths[chosen][None, :]).astype(np.float32)
-        _, found = gradients(net, np.ascontiguousarray(windows[chosen].T), labels[chosen], weight)
+        _, found = gradients(net, np.ascontiguousarray(windows[chosen].T), labels[docs], weight)
         norm = float(np.sqrt(sum(float((g * g).sum()) for g in found)))
         rate = RATE * min(1.0, 4 * (1 - step / (steps + 1)))
         for p, g, m, v in zip(net.parameters(), found, first, second):
@@ -193,44 +201,41 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return pooled / np.maximum(1, sizes)[:, None]
 
 
-def _draw_windows(per_document: int, span: int):
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            langs, parts = [], []
-            for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))):
-                if not has_letter(text):
-                    continue
-                raw = text.encode()
-                rng = np.random.default_rng(abs(doc))
-                for start in rng.integers(0, max(1, len(raw) - span + 1), per_document).tolist():
-                    langs.append(lang)
-                    parts.append(raw[start : start + span])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        yield batch.filter(pa.array([has_letter(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return draw
 
+def training_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", most: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """(lang, text) of at most ``most`` labelled rows a language that are not held out.
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Network | None:
-    """Train on at most TRAIN_DOCUMENTS labelled documents a language that are not held out."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
+    Rows are thinned by the hash of id and text to a few times the bound, then ranked by it, so no
+    language is gathered in one task, and however often an id or a row is repeated, what reaches the
+    driver is bounded by languages.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), row_key(id_column, text_column).alias("row"))
     usable = rows.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").isNotNull())
-    # Ids are thinned by their hash to a few times the bound, so what reaches the driver is bounded
-    # by languages and not by rows, and no language is gathered in one task.
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = {lang: min(1 << 30, (4 * TRAIN_DOCUMENTS << 30) // n) for lang, n in counts.items()}
-    most = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair]) if share else F.create_map(F.lit(""), F.lit(0))
-    ranked: dict[str, list[tuple[int, int]]] = {}
-    for r in usable.select("lang", "doc_id", draw.alias("draw")).filter(F.col("draw") <= most[F.col("lang")]).collect():
-        ranked.setdefault(r["lang"], []).append((r["draw"], r["doc_id"]))
-    ids = sorted({doc for rows in ranked.values() for _, doc in sorted(rows)[:TRAIN_DOCUMENTS]})
-    windows = usable.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").mapInArrow(_draw_windows(TRAIN_WINDOWS, TRAIN_SPAN), "lang string, part binary")
-    found = sorted((r["lang"], bytes(r["part"])) for r in windows.collect())
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = staged(counts.select("lang", F.expr(f"least({1 << 30}, {4 * most << 30} div n)").alias("share")), "shares")
+    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
+    thinned = usable.withColumn("draw", draw).join(share, "lang").filter("draw <= share").select("lang", "row", "draw", "text")
+    lettered = thinned.mapInArrow(_lettered, thinned.schema).dropDuplicates(["lang", "row"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "row"))
+    return lettered.withColumn("place", place).filter(F.col("place") <= most).select("lang", "text")
+
+
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Network | None:
+    """Train on the whole texts of at most TRAIN_DOCUMENTS labelled rows a language."""
+    found = sorted((r["lang"], r["text"].encode()) for r in training_rows(docs, id_column, text_column, lang_column).collect())
     if not found:
         return None
     langs = sorted({lang for lang, _ in found})
-    parts = np.concatenate([cut(part, TRAIN_SPAN) for _, part in found])
-    return train(parts, np.array([len(p) for _, p in found]), np.array([langs.index(lang) for lang, _ in found]), langs)
+    parts = [cut(text, TRAIN_SPAN) for _, text in found]
+    owners = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    sizes = np.array([len(text) for _, text in found])
+    place = np.arange(len(owners)) - np.searchsorted(owners, owners)
+    lengths = np.minimum(TRAIN_SPAN, sizes[owners] - TRAIN_SPAN * place)
+    return train(np.concatenate(parts), lengths, owners, np.array([langs.index(lang) for lang, _ in found]), langs)
 
 
 def fold(doc_id):
@@ -276,5 +281,11 @@ def _accept(net: Network | None, text_at: int):
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without letters or without a clear language go. Rows pass through the model and are filtered there, so nothing is joined or shuffled."""
+    """Pipeline stage: texts without letters or without a clear language go. Rows pass through the model and are filtered there, so nothing is joined or shuffled.
+
+    A null or empty text has no letter and goes; each row is judged by its own text, so repeated rows and
+    rows that share an id stay or go by that; a text whose best languages tie stays if their probability is
+    enough; without labelled rows there is no language and nothing stays; an empty table stays empty. All
+    columns pass unchanged, whatever their names.
+    """
     return docs.mapInArrow(_accept(fit(docs), docs.columns.index("text")), docs.schema)
