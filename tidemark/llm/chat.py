@@ -152,21 +152,29 @@ class Windows:
         return row
 
 
-def _format(ranks_path: str, budget: int, history: int):
-    def format_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(ranks_path: str):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_cache(f"ranks {ranks_path}", lambda: encoder(ranks_path))
+        for batch in sliced(batches):
+            counts = [len(coder.encode_ordinary(rendered(role, text)[0])) for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "tokens"])
+
+    return measure
+
+
+def _format(budget: int, history: int):
+    def format_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))]
         names = ["conv_id", "window", "formatted", "n_tokens", "first_new", "loss"]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         current, out = None, []
         for batch in sliced(batches):
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+            for conv, role, text, tokens in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "tokens"))):
                 if current is None or current.conv != conv:
                     if current and (row := current.close()):
                         out.append(row)
                     current = Windows(conv, budget, history)
                 turn, start = rendered(role, text)
-                tokens = len(coder.encode_ordinary(turn))
                 if row := current.add((turn, tokens, start, role == TARGET), role == SYSTEM):
                     out.append(row)
             if out:
@@ -179,10 +187,12 @@ def _format(ranks_path: str, budget: int, history: int):
 
 
 def format_conversations(turns: DataFrame, ranks_path: str | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window, in order within each conversation and partition."""
+    """One row per window, in order within each conversation and partition. Tokens are counted before turns are dealt by conversation, so a long one only fills windows in its task."""
+    columns = "conv_id long, turn long, role string, text string"
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(_format(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), budget, history), WINDOWS)
+    measured = rows.mapInArrow(_measure(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")), f"{columns}, tokens long")
+    dealt = measured.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.mapInArrow(_format(budget, history), WINDOWS)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
