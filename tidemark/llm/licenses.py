@@ -1,20 +1,28 @@
 """Licence scans by canonical digest lookup, in DataFrame functions only.
 
-A text is normalised (case, punctuation, copyright lines, equivalent spellings) and its SHA-256 is
-joined to the digests of the known licence texts. Each line is normalised the same way and looked
-up among the one-line notices, which usually stand inside other prose.
-
-Defined cases: a null or empty text, or one that normalises to nothing, matches no licence; repeated
-rows give repeated results; other columns are ignored, clashing names included; an empty table gives
-an empty result.
+A text is normalised (case, punctuation, lines of copyright notices, equivalent spellings of whole
+words) and its SHA-256 is joined to the digests of the known licence texts: the texts of this module and
+the longer ones in the folder ``license_texts``, with and without the appendix after their terms. Beside
+that, each line of a text is normalised the same way and joined to the digests of one-line notices,
+which usually stand inside other prose.
+
+A copyright line is one that goes on as a notice does, with a sign, a year, a place for one, or "by";
+a clause that begins with "(c)" is none, so texts with different clauses have different digests.
+
+Defined cases: a null or empty text, or one that normalises to nothing, matches no licence; rows are told
+apart by a digest of id and text, repeated rows give repeated results; of two known texts with one digest
+the lesser name counts; a very long text is hashed whole; other columns are ignored, clashing names
+included; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load
+from tidemark.llm.common import load, row_key, staged
 
 # Public licence texts and notices, as published, without their copyright lines.
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -57,6 +65,27 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+#: Where the terms of a longer text end; what follows tells how to apply it and is often left out.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def _long_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files beside this module, whole and up to the end of their terms."""
+    out = []
+    for file in sorted(resources.files("tidemark.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        head, mark, _ = text.partition(END_OF_TERMS)
+        out += [(file.name.removesuffix(".txt"), t) for t in ([text, head + mark, head] if mark else [text])]
+    return out
+
+
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n\n" + _MIT_BODY),
@@ -69,15 +98,23 @@ KNOWN: list[tuple[str, str]] = [
     ("Apache-2.0", _APACHE_HEADER),
     ("GPL-3.0-or-later", _GPL3_HEADER),
     ("Zlib", _ZLIB_BODY),
+    ("Unlicense", _UNLICENSE),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
+    *_long_texts(),
 ]
 
-# Spellings that licence matching treats as the same, left to right.
+# Words and phrases that licence matching treats as the same, left to right.
 SPELLINGS: list[tuple[str, str]] = [
     ("licence", "license"),
+    ("licences", "licenses"),
+    ("licenced", "licensed"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("non infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"),
     ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
     ("creative commons attribution", "cc by"),
     ("https", "http"),
 ]
@@ -100,20 +137,21 @@ NOTICES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
-#: What the SQL deletes: any line that begins so.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 #: A line of a notice: the word or sign with a sign, a year, a place for one, or "by". A wrapped line of prose is none.
-NOTICE_LINE = r"(?m)^[^a-z0-9\n]*(©|(copyright|\(c\))[ \t:,]*(\(c\)|©|[0-9]{4}|[<\[{(]?(year|yyyy)\b|by\b))[^\n]*$"
+NOTICE_LINE = r"^[^a-z0-9\n]*(©|(copyright|\(c\))[ \t:,]*(\(c\)|©|[0-9]{4}|[<\[{(]?(year|yyyy)\b|by\b))[^\n]*$"
 SEPARATORS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: Between words while spellings are replaced, so that each word has both its spaces.
+GAP = "  "
 
 
 def canonical(text: Column) -> Column:
-    """Lower case without copyright lines, other characters as single spaces, spellings unified."""
-    out = F.regexp_replace(F.lower(text), NOTICE_LINE, " ")
-    out = F.trim(F.regexp_replace(out, SEPARATORS, " "))
+    """Lower case without copyright lines, other characters as single spaces, spellings of whole words unified."""
+    # Lines end at \n alone, in both engines.
+    out = F.regexp_replace(F.lower(text), "(?md)" + NOTICE_LINE, " ")
+    out = F.concat(F.lit(" "), F.regexp_replace(out, SEPARATORS, GAP), F.lit(" "))
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+        out = F.replace(out, *[F.lit(f" {x.replace(' ', GAP)} ") for x in (old, new)])
+    return F.trim(F.replace(out, F.lit(GAP), F.lit(" ")))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
@@ -125,24 +163,18 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFram
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, notices: list[tuple[str, str]] = NOTICES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: the digest of its whole canonical text, the licence it is, and the licences its lines name.
 
-    Whole texts are joined to the known digests; the planner broadcasts that table when it is small
-    enough and shuffles otherwise. The notices are a short list of this module, so their digests are
-    looked up in a literal map and the lines of a document are never exploded.
+    Whole texts are joined to the known digests, and the different lines of each text to the digests of
+    notices. Both tables are lists of this module, a few hundred rows of 64 characters whatever the corpus,
+    so they are broadcast and no text is shuffled.
     """
     spark = docs.sparkSession
-    noticed = {r["digest"]: r["license_id"] for r in known_digests(spark, notices).collect()}
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(noticed.items()) for x in pair])
-    digest = lambda text: F.sha2(canonical(text), 256)
-    lines = F.array_distinct(F.split("text", "\n"))
-    found = F.array_intersect(F.transform(lines, digest), F.array(*[F.lit(d) for d in sorted(noticed)]))
-    marked = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).select(
-        "doc_id",
-        canonical(F.col("text")).alias("canon"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: lookup[d]))), ",").alias("notice_ids"),
-    )
-    marked = marked.select("doc_id", F.sha2("canon", 256).alias("canonical_sha256"), F.length("canon").cast("long").alias("canonical_chars"), "notice_ids")
-    digests = known_digests(spark, known).withColumnRenamed("digest", "canonical_sha256")
-    return marked.join(digests, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "canonical_chars", "license_id", "notice_ids")
+    rows = docs.select(F.col(id_column).alias("doc_id"), row_key(id_column, text_column).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    lines = rows.select("row", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter(F.length("line") > 0)
+    noticed = lines.select("row", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(F.broadcast(known_digests(spark, notices)), "digest")
+    named = staged(noticed.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notice_ids")), "notices")
+    marked = rows.select("doc_id", "row", canonical(F.col("text")).alias("canon")).select("doc_id", "row", F.sha2("canon", 256).alias("canonical_sha256"), F.length("canon").cast("long").alias("canonical_chars"))
+    whole = marked.join(F.broadcast(known_digests(spark, known).withColumnRenamed("digest", "canonical_sha256")), "canonical_sha256", "left")
+    return whole.join(named, "row", "left").select("doc_id", "canonical_sha256", "canonical_chars", "license_id", F.coalesce("notice_ids", F.lit("")).alias("notice_ids"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +186,11 @@ def _sql_text(value: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), {_sql_text(COPYRIGHT_LINE)}, ' ', 'g')"
-    out = f"trim(regexp_replace({out}, {_sql_text(SEPARATORS)}, ' ', 'g'))"
+    out = f"regexp_replace(lower({text}), {_sql_text('(?m)' + NOTICE_LINE)}, ' ', 'g')"
+    out = f"' ' || regexp_replace({out}, {_sql_text(SEPARATORS)}, '{GAP}', 'g') || ' '"
     for old, new in SPELLINGS:
-        out = f"replace({out}, {_sql_text(old)}, {_sql_text(new)})"
-    return out
+        out = f"replace({out}, {_sql_text(' ' + old.replace(' ', GAP) + ' ')}, {_sql_text(' ' + new.replace(' ', GAP) + ' ')})"
+    return f"trim(replace({out}, '{GAP}', ' '))"
 
 
 def _digests_sql(known: list[tuple[str, str]]) -> str:
