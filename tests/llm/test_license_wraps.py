@@ -23,8 +23,8 @@ def test_known_texts_at_several_widths(spark):
 def test_long_texts_are_found_whole(spark):
     rows = []
     for name, text in licenses._long_texts():
-        rewrapped = "\n".join(textwrap.fill(p, 66) for p in text.split("\n"))
-        rows += [(name, text), (name, re.sub(r"\bLICENSE(S|D)?\b", r"LICENCE\1", text.upper())), (name, rewrapped), (None, text[: len(text) // 2]), (None, text + "\nNo part of the terms.")]
+        commented = "/*\n" + "\n".join(" * " + line.strip() for line in text.split("\n")) + "\n */"
+        rows += [(name, text), (name, re.sub(r"\bLICENSE(S|D)?\b", r"LICENCE\1", text.upper())), (name, commented), (None, text[: len(text) // 2]), (None, text + "\nNo part of the terms.")]
     names = {name for name, _ in rows if name}
     assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"} <= names
     docs = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(rows)], "doc_id long, name string, text string")
