@@ -340,6 +340,78 @@ def test_chat_round_trip(spark):
         assert w.n_tokens <= 120 or len(parts) - w.first_new == 1
 
 
+def plain_windows(turns, count, budget, history):
+    """Turn numbers of each window: (system or none, repeated, new), filled one turn at a time."""
+    sizes, out, new = [count(t) for t in turns], [], []
+    system = bool(turns) and turns[0][0] == "system"
+
+    def before(first):
+        """The longest run of turns before ``first`` within the history, the system turn aside."""
+        k, total = first, 0
+        while k > (1 if system else 0) and total + sizes[k - 1] <= history:
+            k -= 1
+            total += sizes[k]
+        return list(range(k, first))
+
+    def closed():
+        first = new[0]
+        head = [0] if system and first > 0 else []
+        again = before(first)
+        if sum(sizes[k] for k in head + again + new) > budget:
+            again = []
+        out.append((head, again, list(new)))
+
+    for k in range(len(turns)):
+        if new:
+            fixed = sum(sizes[j] for j in ([0] if system and new[0] > 0 else []) + before(new[0]))
+            if fixed + sum(sizes[j] for j in new) + sizes[k] > budget:
+                closed()
+                new = []
+        new.append(k)
+    if new:
+        closed()
+    return out
+
+
+def test_chat_windows_are_those_of_a_plain_version(spark):
+    rng = random.Random(21)
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coder.encode_special_tokens = True
+    convs = {}
+    for c in range(40):
+        turns = [("system" if t == 0 and c % 2 else ("user", "assistant")[t % 2], " ".join(rng.choice(["alpha", "<turn>", "beta", "\\", "gamma"]) for _ in range(rng.randrange(0, 45)))) for t in range(rng.randrange(1, 14))]
+        convs[c] = turns
+    rows = spark.createDataFrame([(c, t, r, x) for c, turns in convs.items() for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = {}
+    for w in chat.format_conversations(rows, budget=130, history=45).collect():
+        got.setdefault(w.conv_id, {})[w.window] = w
+    count = lambda turn: len(coder.encode(chat.rendered(*turn)[0], add_special_tokens=False).ids)
+    for c, turns in convs.items():
+        want = plain_windows(turns, count, 130, 45)
+        assert sorted(got[c]) == list(range(len(want)))
+        for k, (head, again, new) in enumerate(want):
+            w = got[c][k]
+            assert w.formatted == "".join(chat.rendered(*turns[j])[0] for j in head + again + new)
+            assert w.first_new == len(head + again) and w.n_tokens == sum(count(turns[j]) for j in head + again + new)
+
+
+def test_chat_query(spark, tmp_path):
+    rng = random.Random(22)
+    turns = [(c, t, ["system", "user", "assistant"][rng.randrange(3)], None if rng.random() < 0.1 else "word " * rng.randrange(0, 900) + "<turn>\\") for c in range(12) for t in range(rng.randrange(1, 9))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    probe = r"\### Assistant: </turn> ok"
+    turns += [(-7, 0, "user", probe), (-7, 1, "assistant", probe)]
+    got = {r.conv_id: r for r in chat.op6_chat_format(spark, str(tmp_path)).collect()}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for c in {t[0] for t in turns}:
+        own = sorted(t for t in ((t[1], t[2], t[3] or "") for t in turns if t[0] == c))
+        whole, loss = "".join(f"{r}\n{x}\n" for _, r, x in own), "".join(x for _, r, x in own if r == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), sha(whole), len(loss), sha(loss))
+        assert r.formatted_chars >= len(whole)
+    assert len(got) == 13 and got[-7].loss_chars == len(probe)
+
+
 def test_packing(spark, tables):
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t, *_ in DOCS}

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator and stage."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,28 @@ def test_odd_rows(spark, odd, name):
         assert len(rows) == wanted
 
 
+EMPTY = hashlib.sha256(b"").hexdigest()
+#: query: {doc_id: what its rows hold, in any order}
+VALUES = {
+    "op1_line_dedup": (["n_lines", "n_removed", "removed_lines"], {1: [(1, 0, "")], 2: [(1, 0, "")], 3: [(2, 0, "")], 4: [(2, 0, ""), (2, 2, "0,1")], 6: [(1, 0, "")], 8: [(1, 0, "")], None: [(1, 0, "")]}),
+    "op2_quality_rules": (["n_words", "word_chars", "n_symbols", "n_repeat_words", "base_failed", "kept"], {1: [(0, 0, 0, 0, True, False)], 2: [(0, 0, 0, 0, True, False)], 3: [(0, 0, 0, 0, True, False)], 4: [(11, 44, 0, 0, True, False)] * 2, 6: [(20000, 104000, 0, 20000, True, False)], 7: [(3, 11, 3, 0, True, False)], None: [(5, 15, 0, 0, True, False)]}),
+    "op3_language_id": (["held_out", "lang_pred", "score"], {2: [(False, "und", 0.0)], 7: [(False, "und", 0.0)]}),
+    "op4_decontamination": (["n_words", "n_hit", "n_items", "items_sha256", "contaminated"], {1: [(0, 0, 0, EMPTY, False)], 2: [(0, 0, 0, EMPTY, False)], 4: [(11, 0, 0, EMPTY, False)] * 2, 6: [(20000, 0, 0, EMPTY, False)], 7: [(1, 0, 0, EMPTY, False)], None: [(5, 0, 0, EMPTY, False)]}),
+    "op5_token_counts": (["n_bytes", "n_tokens", "over_limit"], {1: [(0, 0, False)], 2: [(0, 0, False)], 3: [(4, 0, False)], 6: [(len(LONG), 20000, True)], 8: [(1, 1, False)]}),
+    "op8_suffix_dedup": (["n_bytes", "n_removed", "n_spans", "kept_sha256", "has_passage"], {1: [(0, 0, 0, EMPTY, False)], 2: [(0, 0, 0, EMPTY, False)], 4: [(54, 0, 0, hashlib.sha256(ROWS[3][1].encode()).hexdigest(), False)] * 2, 6: [(len(LONG), len(LONG), 1, EMPTY, True)]}),
+    "op9_simhash_near_dedup": (["fingerprint", "component_id"], {1: [("0" * 16, 1)], 2: [("0" * 16, 1)], 3: [("0" * 16, 1)]}),
+    "op10_license_scan": (["canonical_chars", "license_id", "notice_ids"], {1: [(0, None, "")], 2: [(0, None, "")], 3: [(0, None, "")], 7: [(5, None, "")], 8: [(1, None, "")]}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(VALUES))
+def test_values_of_odd_rows(spark, odd, name):
+    columns, want = VALUES[name]
+    rows = catalogue.QUERIES[name](spark, odd).collect()
+    for doc, values in want.items():
+        assert sorted(tuple(r[c] for c in columns) for r in rows if r.doc_id == doc) == sorted(values), doc
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_empty_tables(spark, empty, name):
     rows = catalogue.QUERIES[name](spark, empty).collect()
