@@ -35,6 +35,12 @@ def _stage(work: Stage) -> Stage:
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: pieces of all documents in sequences of 1,024 tokens.
+
+    A null or empty text is its closing id alone; repeated rows and rows that share an id are packed one
+    by one; ties in length go by id and checksum; other columns are ignored, whatever their names; an
+    empty table gives no piece.
+    """
     return pack_documents(docs)
 
 
