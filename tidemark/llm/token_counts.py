@@ -24,6 +24,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +71,18 @@ class Remembered:
         return found
 
 
+def packed(counts: list[int]) -> bytes | np.ndarray:
+    """Changes from count to count: a signed byte each, or numbers if one does not fit."""
+    changes = list(map(sub, counts, [0, *counts]))
+    if min(changes) < -128 or max(changes) > 127:
+        return np.array(changes, np.int32)
+    return bytes([x & 255 for x in changes])
+
+
+def unpacked(changes: bytes | np.ndarray) -> np.ndarray:
+    return np.frombuffer(changes, np.int8).astype(np.int32) if type(changes) is bytes else changes
+
+
 class PrefixCounter:
     """Counts tokens of prefixes for one tokenizers file with word-end symbols."""
 
@@ -79,6 +92,8 @@ class PrefixCounter:
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.vocab = frozenset(model["vocab"])
+        #: Tokens that end a word, by their text without the mark.
+        self.closing = {t.removesuffix(self.end): t for t in self.vocab if t.endswith(self.end)}
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
         self.made: dict[str, tuple[int, str, str]] = {}
         for (a, b), k in self.ranks.items():
@@ -94,7 +109,7 @@ class PrefixCounter:
         self.odd = regex.compile("[\x1c-\x1f]")
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.chunk_known = Remembered()
+        self.chunk_known, self.word_known = Remembered(), Remembered(REMEMBERED_BYTES // 2)
         self.root, self.remembered = ["", 0, 0, None], 0
         self.joining: frozenset[str] | None = None
 
@@ -155,21 +170,26 @@ class PrefixCounter:
 
     def state(self, text: str, end: int, path: list[list]) -> list:
         """The state of text[:end], from those of shorter prefixes: last token, tokens, tokens as a whole word, and the states of longer ones by their next symbol."""
-        vocab, fits, word_end = self.vocab, self.fits, self.end
-        inner = whole = None
+        vocab, closing, fits = self.vocab, self.closing, self.fits
+        inner = whole = -1
         for start in range(max(0, end - self.longest), end):
             token = text[start:end]
-            if inner is None and token in vocab:
+            if inner < 0 and token in vocab:
                 ok = fits.get((path[start][0], token))
                 if self.follows(path[start][0], token) if ok is None else ok:
                     inner = start
-            if whole is None and (closed := token + word_end) in vocab:
+                    if whole >= 0:
+                        break
+            if whole < 0 and token in closing:
+                closed = closing[token]
                 ok = fits.get((path[start][0], closed))
                 if self.follows(path[start][0], closed) if ok is None else ok:
                     whole = start
-            if inner is not None and whole is not None:
-                return [text[inner:end], path[inner][1] + 1, path[whole][1] + 1, None]
-        raise ValueError(f"no token ends {text[:end]!r}")
+                    if inner >= 0:
+                        break
+        if inner < 0 or whole < 0:
+            raise ValueError(f"no token ends {text[:end]!r}")
+        return [text[inner:end], path[inner][1] + 1, path[whole][1] + 1, None]
 
     def states(self, text: str) -> list[list]:
         """The recurrence over a word: the states of its prefixes, the empty one first. Words share the states of their common beginnings."""
@@ -213,17 +233,26 @@ class PrefixCounter:
         """Words of a normalised text without white space."""
         return [lower] if lower.isalpha() else self.words.findall(lower)
 
+    def _word_changes(self, word: str) -> bytes | np.ndarray:
+        """By how much the count changes with each character of a word."""
+        if word[0] == "'" and len(word) > 1 and word[1].isalpha():
+            # A contraction is one word, but its prefixes are not.
+            return packed([sum(map(self.word_count, self.split(word[: k + 1]))) for k in range(len(word))])
+        return packed(self.word_prefixes(word))
+
+    def _normal_changes(self, lower: str) -> bytes | np.ndarray:
+        """The same for a normalised text: only the word that a prefix ends in can differ from the text's own, so words follow each other."""
+        get, remember = self.word_known.new.get, self.word_known.get
+        parts = [get(w) or remember(w, self._word_changes) if len(w) <= SHARED else self._word_changes(w) for w in self.split(lower)]
+        if len(parts) == 1:
+            return parts[0]
+        if all(type(p) is bytes for p in parts):
+            return b"".join(parts)
+        return np.concatenate([unpacked(p) for p in parts])
+
     def _normal_prefixes(self, lower: str) -> list[int]:
-        """Counts for each prefix of a normalised text. Only the word that a prefix ends in can differ from the text's own."""
-        out: list[int] = []
-        for word in self.split(lower):
-            base = out[-1] if out else 0
-            own = self.word_prefixes(word)
-            if word[0] == "'" and len(word) > 1 and word[1].isalpha():
-                # A contraction is one word, but its prefixes are not.
-                own = [sum(map(self.word_count, self.split(word[: k + 1]))) for k in range(len(word))]
-            out += [base + x for x in own]
-        return out
+        """Counts for each prefix of a normalised text."""
+        return np.cumsum(unpacked(self._normal_changes(lower)), dtype=np.int64).tolist() if lower else []
 
     def _plain_prefixes(self, chunk: str) -> list[int]:
         """Counts for each prefix of a text without white space and special strings."""
@@ -301,12 +330,14 @@ class PrefixCounter:
         return out + [base + x for x in self._plain_prefixes(chunk[k:])] if k < len(chunk) else out
 
     def _changes(self, chunk: str) -> bytes | np.ndarray:
-        """By how much the count changes with each character: bytes, or numbers if one does not fit."""
-        counts = self.prefixes(chunk)
-        changes = [b - a for a, b in zip([0, *counts], counts)]
-        if min(changes) < -128 or max(changes) > 127:
-            return np.array(changes, np.int32)
-        return bytes([x & 255 for x in changes])
+        """The same for a text without white space."""
+        if self.hint not in chunk:
+            if chunk.isascii():
+                return self._normal_changes(chunk.lower())
+            lower = "".join(map(str.lower, chunk))
+            if len(lower) == len(chunk) and unicodedata.is_normalized("NFC", chunk):
+                return self._normal_changes(lower)
+        return packed(self.prefixes(chunk))
 
     def changes(self, text: str) -> np.ndarray:
         """For each character of a text, by how much it changes the number of tokens; white space does not."""
@@ -323,7 +354,7 @@ class PrefixCounter:
         out, at = np.zeros(len(text), np.int32), 0
         for chunk, part in zip(chunks, parts):
             at = text.index(chunk, at)
-            out[at : at + len(chunk)] = np.frombuffer(part, np.int8) if type(part) is bytes else part
+            out[at : at + len(chunk)] = unpacked(part)
             at += len(chunk)
         small = out.astype(np.int8)
         return small if (small == out).all() else out
