@@ -141,13 +141,9 @@ def term_frequencies(index: DataFrame, vocabulary: frozenset) -> dict[bytes, int
     return {bytes(r["term"]): r["n"] for r in rows.collect()}
 
 
-def near_starts(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], slop: int = 0) -> np.ndarray:
-    """Places where a phrase, given as (term, offset) from rare to frequent, may start in one block: each term has an occurrence at most ``slop`` off its own place."""
-    first, offset = window[0]
-    starts = lists[first] - offset
-    if slop:
-        starts = np.unique((starts[:, None] + np.arange(-slop, slop + 1)).ravel())
-    for term, offset in window[1:]:
+def narrowed(terms: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], starts: np.ndarray, slop: int) -> np.ndarray:
+    """Those of ``starts`` from which each of the terms (term, offset) has an occurrence at most ``slop`` off its place, from rare to frequent."""
+    for term, offset in terms:
         if not len(starts):
             break
         own, wanted = lists[term], starts + offset
@@ -158,6 +154,20 @@ def near_starts(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray],
     return starts
 
 
+def phrase_starts(phrase: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the exact phrase in one block, and starts from which all its terms are near.
+
+    The rarest term's list is narrowed once, as loosely as a proximity match allows: seen from an occurrence
+    that is itself off its place, another term may be twice as far off. What is left is few and decides both.
+    """
+    first, offset = phrase[0]
+    loose = narrowed(phrase[1:], lists, lists[first] - offset, 2 * slop)
+    if not slop or not len(loose):
+        return loose, loose[:0]
+    around = np.unique((loose[:, None] + np.arange(-slop, slop + 1)).ravel())
+    return narrowed(phrase[1:], lists, loose, 0), narrowed(phrase, lists, around, slop)
+
+
 def in_order(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], starts: np.ndarray, slop: int) -> np.ndarray:
     """(match, term) positions of the phrases at ``starts`` whose terms follow each other: each term takes its first occurrence after the one before it, which leaves the most room to the next."""
     places, before, live = [], np.full(len(starts), -1), np.ones(len(starts), bool)
@@ -194,10 +204,10 @@ def _hits(sent, slop: int, every: bool):
                 for window, phrase in by_rarest[term]:
                     if any(t not in lists for t, _ in phrase):
                         continue
-                    exact = near_starts(phrase, lists)
+                    exact, near = phrase_starts(phrase, lists, slop)
                     if len(exact):
                         mark(0, exact[:, None] + np.arange(len(phrase)), window)
-                    if slop and len(near := near_starts(phrase, lists, slop)) and len(matched := in_order(phrase, lists, near, slop)):
+                    if len(near) and len(matched := in_order(phrase, lists, near, slop)):
                         mark(1, matched, window)
 
             def spans(kind: int) -> dict[int, list[dict]]:
