@@ -404,9 +404,13 @@ def find_matches(texts: DataFrame, batches: int | None = None, family: SuffixFam
     batches = batches or batches_for(texts)
     dealt = texts.select("row", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int").alias("batch"), "text")
     anchors = staged(dealt.mapInArrow(_anchors, ANCHORS), "anchors")
-    family = family or SuffixFamily(spark)
-    found = [family.insert(anchors.filter((F.col("batch") == k) & F.col("suffix").isNotNull()).select("suffix", "n")) for k in range(batches)]
-    return anchors, staged(reduce(DataFrame.union, found).distinct(), "matches")
+    kept = family or SuffixFamily(spark)
+    found = [kept.insert(anchors.filter((F.col("batch") == k) & F.col("suffix").isNotNull()).select("suffix", "n")) for k in range(batches)]
+    matches = staged(reduce(DataFrame.union, found).distinct(), "matches")
+    if family is None:  # nobody will insert into it again
+        files, place = file_system(spark, kept.folder)
+        files.delete(place, True)
+    return anchors, matches
 
 
 def repeated_starts(texts: DataFrame, shared: DataFrame) -> DataFrame:
