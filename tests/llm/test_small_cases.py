@@ -63,6 +63,9 @@ VALUES = {
     "op8_suffix_dedup": (["n_bytes", "n_removed", "n_spans", "kept_sha256", "has_passage"], {1: [(0, 0, 0, EMPTY, False)], 2: [(0, 0, 0, EMPTY, False)], 4: [(54, 0, 0, hashlib.sha256(ROWS[3][1].encode()).hexdigest(), False)] * 2, 6: [(len(LONG), len(LONG), 1, EMPTY, True)]}),
     "op9_simhash_near_dedup": (["fingerprint", "component_id"], {1: [("0" * 16, 1)], 2: [("0" * 16, 1)], 3: [("0" * 16, 1)]}),
     "op10_license_scan": (["canonical_chars", "license_id", "notice_ids"], {1: [(0, None, "")], 2: [(0, None, "")], 3: [(0, None, "")], 7: [(5, None, "")], 8: [(1, None, "")]}),
+    "op11_secret_scan": (["n_assign", "n_access", "n_hex", "base_sha256", "spans"], {k: [(0, 0, 0, EMPTY, "")] for k in (1, 2, 3, 5, 6, 7, 8, None)} | {4: [(0, 0, 0, EMPTY, "")] * 2}),
+    "op12_merkle_manifest": (["verified"], {1: [(True,)], 2: [(True,)], 4: [(False,)] * 2, 6: [(True,)], 7: [(True,)], None: [(True,)]}),
+    "op13_importance_resampling": (["n_features", "rank"], {1: [(0, None)], 2: [(0, None)], 3: [(0, None)], 4: [(11, None)] * 2, 8: [(1, None)], None: [(5, None)]}),
 }
 
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that some of them have."""
 
-from tidemark.llm import chat, decontamination, language, licenses, line_dedup, packing, quality, simhash, suffix_dedup, token_counts
+from tidemark.llm import chat, decontamination, importance, language, licenses, line_dedup, merkle, packing, quality, secret_scan, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
-ORACLES = {"op2_quality_rules": quality.SQL, "op10_license_scan": licenses.SQL}
+ORACLES = {"op2_quality_rules": quality.SQL, "op10_license_scan": licenses.SQL, "op12_merkle_manifest": merkle.SQL, "op13_importance_resampling": importance.SQL}
