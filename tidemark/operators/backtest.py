@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
 from tidemark.operators.features import BENCHMARK, LABEL
-from tidemark.operators.models import Model
+from tidemark.operators.models import GbtModel, Model, fit_models
 
 CARRY = ["region_id", "forecast_date", "cutoff_utc", "target_timestamp_utc", "target_local_date", "target_local_hour", "hours_ahead", "is_weekend", "is_holiday", "days_to_nearest_holiday", LABEL, "label_is_suspect"]
 BENCHMARK_MODEL = "eia_df"
@@ -54,19 +54,29 @@ def with_errors(predictions: DataFrame) -> DataFrame:
 
 
 def run_backtest(features: DataFrame, models: list[Model], folds: DataFrame, quantile: float = DEFAULT.extreme_quantile) -> DataFrame:
-    """Long predictions, one row per (fold, model, target). Models that fit nothing score all folds in one plan; the others fit once per fold, on the driver's list of folds, a row for each month."""
+    """Long predictions, one row per (fold, model, target).
+
+    Models that fit nothing score all folds in one plan. Boosted trees of all folds and models grow together
+    and score all folds in one plan a model. Other models fit once per fold, on the driver's list of folds, a
+    row for each month.
+    """
     tests = test_rows(features, folds, quantile)
     carry = [c for c in CARRY if c in features.columns]
-    fold_columns = ["fold", "fold_label", "train_end", "train_rows", "extreme_threshold_mwh", "is_extreme"]
-    parts = [m.transform(tests).select(*carry, *fold_columns, F.lit(m.name).alias("model"), "prediction_mwh") for m in models if not m.needs_fit]
-    fitted = [m for m in models if m.needs_fit]
-    if fitted:
-        day = F.to_date("forecast_date")
-        for fold in folds.orderBy("fold").collect():
-            train = features.filter(day.between(F.lit(fold["train_start"]), F.lit(fold["train_end"])))
-            for m in fitted:
-                part = m.fit(train).transform(tests.filter(F.col("fold") == fold["fold"]))
-                parts.append(part.select(*carry, *fold_columns, F.lit(m.name).alias("model"), "prediction_mwh"))
+    columns = [*carry, "fold", "fold_label", "train_end", "train_rows", "extreme_threshold_mwh", "is_extreme"]
+    long = lambda m, rows: rows.select(*columns, F.lit(m.name).alias("model"), "prediction_mwh")
+    parts = [long(m, m.transform(tests)) for m in models if not m.needs_fit]
+    trees = [m for m in models if isinstance(m, GbtModel)]
+    others = [m for m in models if m.needs_fit and not isinstance(m, GbtModel)]
+    held = folds.orderBy("fold").collect() if trees or others else []
+    if trees and held:
+        boosters = fit_models(features, trees, [(f["train_start"], f["train_end"]) for f in held])
+        for m in trees:
+            parts.append(long(m, m.predict_by(tests, F.col("fold"), {f["fold"]: boosters[m.name, w] for w, f in enumerate(held)})))
+    elif trees:
+        parts += [long(m, tests.withColumn("prediction_mwh", F.lit(None).cast("double"))) for m in trees]
+    for fold in held if others else []:
+        train = features.filter(F.to_date("forecast_date").between(F.lit(fold["train_start"]), F.lit(fold["train_end"])))
+        parts += [long(m, m.fit(train).transform(tests.filter(F.col("fold") == fold["fold"]))) for m in others]
     return with_errors(reduce(DataFrame.unionByName, parts))
 
 

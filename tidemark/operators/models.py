@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from dataclasses import asdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.boosting import Booster, Fit, Settings, fit_boosters, predicted
 from tidemark.operators.features import BENCHMARK, LABEL
 
 SEED = 41
@@ -45,18 +45,20 @@ def published_benchmark() -> ColumnModel:
 
 
 class GbtModel(Model):
-    """Boosted trees over a declared list of features.
+    """Boosted trees over a declared list of features (``boosting``).
 
-    A missing value becomes a number below all others, with a column that says so, since the trees
-    of Spark route no NULLs. A feature that is not in the input raises; other columns are ignored.
+    Missing values are routed by each split as training says. A feature that is not in the input raises;
+    other columns are ignored.
     """
 
-    MISSING = -1.0e9
-
-    def __init__(self, name: str, features: list[str], rounds: int = 50, depth: int = 5, rate: float = 0.1, subsample: float = 0.8, min_instances: int = 5, seed: int = SEED) -> None:
+    def __init__(self, name: str, features: list[str], rounds: int = 50, depth: int = 5, rate: float = 0.1, subsample: float = 0.8, min_instances: int = 5, seed: int = SEED, colsample: float = 0.8, bins: int = 64) -> None:
         self.name, self.features, self.seed = name, list(features), seed
-        self.settings = {"maxIter": rounds, "maxDepth": depth, "stepSize": rate, "subsamplingRate": subsample, "minInstancesPerNode": min_instances, "seed": seed}
-        self.fitted: PipelineModel | None = None
+        self.tree_settings = Settings(rounds=rounds, depth=depth, rate=rate, subsample=subsample, colsample=colsample, min_child=min_instances, bins=bins, seed=seed)
+        self.fitted: Booster | None = None
+
+    @property
+    def settings(self) -> dict:
+        return asdict(self.tree_settings)
 
     @property
     def needed(self) -> list[str]:
@@ -64,44 +66,40 @@ class GbtModel(Model):
         return self.features
 
     def described(self) -> dict[str, str]:
-        """What, beside the fitted pipeline, makes this model again; ``restored`` reads it."""
+        """What, beside the fitted trees, makes this model again; ``restored`` reads it."""
         return {"class": type(self).__name__}
 
-    def prepared(self, rows: DataFrame) -> DataFrame:
+    def checked(self, rows: DataFrame) -> DataFrame:
         missing = [f for f in self.needed if f not in rows.columns]
         if missing:
             raise ValueError(f"{self.name}: the input lacks {', '.join(missing)}")
-        value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(self.MISSING))
-        return rows.withColumns({f"_x_{f}": value(f) for f in self.features} | {f"_m_{f}": F.col(f).isNull().cast("double") for f in self.features})
+        return rows
 
-    def target(self, rows: DataFrame) -> DataFrame:
-        return rows.filter(F.col(LABEL).isNotNull()).withColumn("_y", F.col(LABEL).cast("double"))
+    def target(self) -> Column:
+        """What the trees learn; NULL where a row is none to learn from."""
+        return F.col(LABEL).cast("double")
+
+    def scaled(self, prediction: Column) -> Column:
+        return prediction
 
     def fit(self, train: DataFrame) -> GbtModel:
-        usable = self.prepared(self.target(train))
-        if usable.isEmpty():
-            raise ValueError(f"{self.name}: no labelled row to train on")
-        inputs = [f"{kind}{f}" for kind in ("_x_", "_m_") for f in self.features]
-        trees = GBTRegressor(featuresCol="_features", labelCol="_y", predictionCol="_prediction", **self.settings)
-        self.fitted = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_features"), trees]).fit(usable)
+        self.fitted = fit_models(train, [self], [None])[self.name, 0]
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
         if self.fitted is None:
             raise RuntimeError(f"{self.name}: transform() before fit()")
-        scored = self.fitted.transform(self.prepared(rows))
-        return scored.withColumn("prediction_mwh", self.scaled()).select(*rows.columns, "prediction_mwh")
+        return self.predict_by(rows, F.lit(0), {0: self.fitted})
 
-    def scaled(self):
-        return F.col("_prediction")
+    def predict_by(self, rows: DataFrame, which: Column, boosters: dict[int, Booster]) -> DataFrame:
+        """Predictions of rows by the booster that ``which`` numbers for each."""
+        raw = predicted(boosters, which, tuple(self.features), rows.sparkSession)
+        return self.checked(rows).withColumn("prediction_mwh", self.scaled(raw))
 
     def importance(self) -> list[tuple[str, float]]:
-        """Features with their gain, largest first; value and missing marker of a feature add up."""
-        if self.fitted is None:
-            return []
-        gains = self.fitted.stages[-1].featureImportances.toArray()
-        n = len(self.features)
-        return sorted(((f, float(gains[k] + gains[n + k])) for k, f in enumerate(self.features)), key=lambda x: (-x[1], x[0]))
+        """Features with the gain of their splits, largest first."""
+        gains = self.fitted.gains() if self.fitted is not None else {}
+        return sorted(gains.items(), key=lambda x: (-x[1], x[0]))
 
 
 class GbtRatioModel(GbtModel):
@@ -118,16 +116,31 @@ class GbtRatioModel(GbtModel):
     def described(self) -> dict[str, str]:
         return {**super().described(), "baseline": self.baseline}
 
-    def target(self, rows: DataFrame) -> DataFrame:
-        usable = rows.filter(F.col(LABEL).isNotNull() & (F.col(self.baseline) > 0))
-        return usable.withColumn("_y", F.col(LABEL).cast("double") / F.col(self.baseline))
+    def target(self) -> Column:
+        return F.when(F.col(self.baseline) > 0, F.col(LABEL).cast("double") / F.col(self.baseline))
+
+    def scaled(self, prediction: Column) -> Column:
+        return prediction * F.col(self.baseline)
+
 
-    def scaled(self):
-        return F.col("_prediction") * F.col(self.baseline)
+def fit_models(rows: DataFrame, models: list[GbtModel], windows: list[tuple | None]) -> dict[tuple[str, int], Booster]:
+    """(model's name, number of the window): booster, for each model on each window of dates (first, last; None: all rows). Models of equal settings grow in the same passes. A model without a row to train on raises."""
+    found: dict[tuple[str, int], Booster] = {}
+    for settings in dict.fromkeys(m.tree_settings for m in models):
+        alike = [m for m in models if m.tree_settings == settings]
+        labelled = rows
+        for k, m in enumerate(alike):
+            labelled = m.checked(labelled).withColumn(f"_learned_{k}", m.target())
+        jobs = [(m, w, Fit(tuple(m.features), f"_learned_{k}", *(window or (None, None)))) for k, m in enumerate(alike) for w, window in enumerate(windows)]
+        for (m, w, _), booster in zip(jobs, fit_boosters(labelled, [fit for _, _, fit in jobs], settings), strict=True):
+            if booster is None:
+                raise ValueError(f"{m.name}: no labelled row to train on")
+            found[m.name, w] = booster
+    return found
 
 
-def restored(name: str, features: list[str], described: dict[str, str], fitted: PipelineModel) -> GbtModel:
-    """A model from what ``described`` says and its fitted pipeline. An unknown class raises."""
+def restored(name: str, features: list[str], described: dict[str, str], fitted: Booster) -> GbtModel:
+    """A model from what ``described`` says and its fitted trees. An unknown class raises."""
     kind = described.get("class", GbtModel.__name__)
     if kind == GbtRatioModel.__name__:
         model: GbtModel = GbtRatioModel(name, features, described["baseline"])

@@ -1,18 +1,20 @@
 """A registry of model versions kept in tables, with aliases, and the promotion rule.
 
-Versions and aliases are append-only Parquet tables; the newest row of an alias holds. A fitted
-Spark pipeline is saved beside them.
+Versions and aliases are append-only Parquet tables; the newest row of an alias holds. Fitted trees are
+saved beside them, each model in a folder of its own. A version's number is claimed by creating a file that
+must not exist yet, so two runs at once get two numbers.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.boosting import Booster
 from tidemark.operators.models import GbtModel, restored
 
 CHAMPION = "champion"
@@ -78,16 +80,24 @@ class Registry:
         """Save a fitted model as the next version. Registering does not promote."""
         if model.fitted is None:
             raise ValueError("only a fitted model can be registered")
-        last = self.versions().filter(F.col("name") == name).agg(F.max("version").alias("v")).first()["v"]
-        version = (last or 0) + 1
-        path = f"{self.root}/models/{name}/{version}"
-        model.fitted.write().overwrite().save(path)
+        path = f"{self.root}/models/{name}/{uuid.uuid4().hex}"
+        model.fitted.save(self.spark, path)
+        version = self._claim(name)
         own = {"model": model.name, **model.described(), "n_features": str(len(model.features)), "seed": str(model.seed), "settings": json.dumps(model.settings, sort_keys=True), **(params or {})}
         row = (name, version, run_name, model.features, own, {k: float(v) for k, v in (metrics or {}).items()}, path)
         schema = VERSIONS.rsplit(",", 1)[0]
         self.spark.createDataFrame([row], schema).withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/versions")
         return version
 
+    def _claim(self, name: str) -> int:
+        """The next number of a name that no other run has: a file for it is created, which fails if it is there."""
+        last = self.versions().filter(F.col("name") == name).agg(F.max("version").alias("v")).first()["v"]
+        version, path = (last or 0) + 1, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        while not files.createNewFile(path(f"{self.root}/claims/{name}/{version}")):
+            version += 1
+        return version
+
     def set_alias(self, name: str, version: int, alias: str = CHAMPION) -> None:
         if self.versions().filter((F.col("name") == name) & (F.col("version") == version)).isEmpty():
             raise ValueError(f"{name} has no version {version}")
@@ -116,4 +126,4 @@ class Registry:
         held = self.aliased(name, alias)
         if held is None:
             raise LookupError(f"{name} has no {alias}")
-        return restored(held["params"]["model"], held["features"], held["params"], PipelineModel.load(held["model_path"]))
+        return restored(held["params"]["model"], held["features"], held["params"], Booster.load(self.spark, held["model_path"]))
