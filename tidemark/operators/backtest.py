@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT
 from tidemark.operators.features import BENCHMARK, LABEL
 from tidemark.operators.models import GbtModel, Model, fit_models
+from tidemark.operators.orderstats import order_statistics, segments_of
 
 CARRY = ["region_id", "forecast_date", "cutoff_utc", "target_timestamp_utc", "target_local_date", "target_local_hour", "hours_ahead", "is_weekend", "is_holiday", "days_to_nearest_holiday", LABEL, "label_is_suspect"]
 BENCHMARK_MODEL = "eia_df"
@@ -32,11 +33,15 @@ def monthly_folds(dates: DataFrame, min_train_months: int = 12, window_months: i
 
 
 def training_stats(features: DataFrame, folds: DataFrame, quantile: float = DEFAULT.extreme_quantile) -> DataFrame:
-    """Per fold: labelled training rows and the threshold of extremes, from training labels alone. Folds are as many as months, so their table is small next to any feature table."""
-    day = F.to_date("forecast_date")
-    labels = features.filter(F.col(LABEL).isNotNull()).select(day.alias("day"), LABEL)
-    joined = labels.join(folds, F.col("day").between(F.col("train_start"), F.col("train_end")))
-    return joined.groupBy("fold").agg(F.count(F.lit(1)).alias("train_rows"), F.percentile(LABEL, F.lit(quantile)).alias("extreme_threshold_mwh"))
+    """Per fold: labelled training rows and the threshold of extremes, from training labels alone.
+
+    Labels are counted by stretch of days between the folds' ends, and a fold is a range of stretches, so no
+    label is copied into the folds that hold it. Folds are as many as months.
+    """
+    labels = features.filter(F.col(LABEL).isNotNull()).select(F.to_date("forecast_date").alias("day"), F.col(LABEL).alias("v"))
+    days, windows = segments_of(folds.withColumn("window", F.col("fold")), "train_start", "train_end")
+    found = order_statistics(labels.join(days, "day"), windows, {"extreme_threshold_mwh": quantile}, [])
+    return found.select(F.col("window").alias("fold"), F.col("n").alias("train_rows"), "extreme_threshold_mwh")
 
 
 def test_rows(features: DataFrame, folds: DataFrame, quantile: float = DEFAULT.extreme_quantile) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT
 from tidemark.functions.measures import absolute_percentage, clean_value, run_id, share_of, signed_error
 from tidemark.operators.features import FLAGS, LABEL
+from tidemark.operators.orderstats import group_quantiles
 
 
 # Columns of the three forecast tables.
@@ -57,14 +58,13 @@ def backtest_accuracy(predictions: DataFrame, runs: DataFrame, region: str = "R0
 
 
 def serving_threshold(silver: DataFrame, runs: DataFrame, quantile: float = DEFAULT.extreme_quantile) -> DataFrame:
-    """(region_id, extreme_threshold_mwh): per region, the quantile of clean demand up to the newest training end of its runs.
+    """(region_id, extreme_threshold_mwh): per region, the exact quantile of clean demand up to the newest training end of its runs.
 
-    Regions meet their end in an equi-join, and equal values are counted before the quantile, so no
-    task holds more than the distinct values of a region."""
+    Regions meet their end in an equi-join; no task holds the values of a region."""
     end = runs.groupBy("region_id").agg(F.max("training_data_end").cast("timestamp").alias("end"))
     clean = silver.select("region_id", "event_timestamp_utc", clean_value("actual_demand_mwh", *FLAGS).alias("demand")).filter("demand is not null")
-    counted = clean.join(end, "region_id").filter("event_timestamp_utc <= end").groupBy("region_id", "demand").agg(F.count(F.lit(1)).alias("times"))
-    return counted.groupBy("region_id").agg(F.percentile("demand", F.lit(quantile), F.col("times")).alias("extreme_threshold_mwh"))
+    known = clean.join(end, "region_id").filter("event_timestamp_utc <= end")
+    return group_quantiles(known, ["region_id"], "demand", {"extreme_threshold_mwh": quantile}).drop("n")
 
 
 def served_accuracy(predictions: DataFrame, runs: DataFrame, silver: DataFrame, quantile: float = DEFAULT.extreme_quantile) -> DataFrame:

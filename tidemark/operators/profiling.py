@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT
 from tidemark.functions.calendar import expected_hours
 from tidemark.functions.measures import share_of
+from tidemark.operators.orderstats import group_quantiles
+from tidemark.sources.tables import staged
 
 
 def facets(feed: DataFrame) -> DataFrame:
@@ -23,10 +25,11 @@ def yearly_coverage(hours: DataFrame, value: str = "actual_demand_mwh") -> DataF
 
 
 def value_percentiles(feed: DataFrame) -> DataFrame:
-    """Nearest-rank percentiles of each type's numeric values."""
-    v = F.col("value").try_cast("double")
-    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v)")
-    return feed.select("type", v.alias("v")).filter("v is not null").groupBy("type").agg(at(0.01).alias("p01"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.min("v").alias("low"), F.max("v").alias("high"))
+    """Nearest-rank percentiles of each type's numeric values, exact, without a type's values in one task."""
+    values = staged(feed.select("type", F.col("value").try_cast("double").alias("v")).filter("v is not null"), "values")
+    ends = values.groupBy("type").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    ranks = group_quantiles(values, ["type"], "v", {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99}, continuous=False)
+    return ranks.drop("n").join(ends, "type")
 
 
 def first_seen(feed: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,3 +50,18 @@ def scratch(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: ``spark.checkpoint.dir``, or the warehouse where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder in the scratch folder, removed when the driver's JVM ends."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to the scratch folder and read them back: they are worked out once, and a lost executor costs only reading."""
+    path = place(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
