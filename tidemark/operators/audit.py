@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, FeedConfig
 from tidemark.functions.calendar import hours_between, local_midnight_utc
-from tidemark.operators.features import Anchor, FeatureSpec
+from tidemark.operators.features import READ, Anchor, FeatureSpec
 
 
 def spec_frame(spark: SparkSession, specs: list[FeatureSpec]) -> DataFrame:
@@ -50,6 +50,36 @@ def audit_report(pairs: DataFrame, specs: list[FeatureSpec], config: FeedConfig
     return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.coalesce(late, F.lit(False)).cast("long")).alias("violations"), F.max(F.when(late, hours_between(F.col("cutoff_utc"), F.col("available_at")))).alias("max_hours_late"))
 
 
+def joined_report(rows: DataFrame, specs: list[FeatureSpec], config: FeedConfig = DEFAULT) -> DataFrame:
+    """Per feature, from feature rows that carry what was read: values, those read from an hour published only after the cutoff, the latest hour, and those read from a later hour than the spec declares.
+
+    The specs only name the features and what they declare; the verdict is on the hours really joined.
+    """
+    held = [s for s in specs if READ + s.name in rows.columns]
+
+    def entry(s: FeatureSpec) -> Column:
+        read = F.col(READ + s.name)
+        known = read + F.expr(f"interval {config.publication_lag_hours[s.metric]} hours")
+        declared = available_at(s, config)
+        return F.struct(F.lit(s.name).alias("feature"), read.alias("read"), known.alias("known"), declared.alias("declared"))
+
+    if not held:
+        raise ValueError("no feature of the specs carries what was read")
+    each = rows.select("cutoff_utc", F.explode(F.array(*[entry(s) for s in held])).alias("s")).select("cutoff_utc", "s.*").filter("read is not null")
+    late, beyond = F.col("known") > F.col("cutoff_utc"), F.col("known") > F.col("declared")
+    return each.groupBy("feature").agg(F.count(F.lit(1)).alias("values"), F.sum(late.cast("long")).alias("violations"), F.max(F.when(late, hours_between(F.col("cutoff_utc"), F.col("known")))).alias("max_hours_late"), F.sum(beyond.cast("long")).alias("later_than_declared"))
+
+
+def joined_gate(rows: DataFrame, specs: list[FeatureSpec], config: FeedConfig = DEFAULT) -> dict[str, int]:
+    """Raise if any value was read from an hour not yet published at the cutoff or later than its spec says, or if no value was checked."""
+    done = joined_report(rows, specs, config).agg(F.sum("values").alias("checks"), F.sum("violations").alias("late"), F.sum("later_than_declared").alias("beyond")).first()
+    if not done["checks"]:
+        raise ValueError("the audit saw no value")
+    if done["late"] or done["beyond"]:
+        raise ValueError(f"of {done['checks']} values {done['late']} were read from hours not known at the cutoff, {done['beyond']} from later hours than declared")
+    return {"checks": done["checks"], "violations": 0}
+
+
 def leakage_gate(pairs: DataFrame, specs: list[FeatureSpec], leaky: list[FeatureSpec], config: FeedConfig = DEFAULT) -> dict[str, int]:
     """Raise on any violation, on an empty audit, and if a known leak goes unnoticed. Two aggregate rows reach the driver."""
     done = audit_report(pairs, specs, config).agg(F.sum("pairs").alias("checked"), F.sum("violations").alias("violations")).first()

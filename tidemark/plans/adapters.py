@@ -40,6 +40,17 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Hours by which a vintage is ingested later than its event, for a feed with revisions after the cutoff.
+LATE_HOURS = "CASE WHEN event_id % 3 = 0 THEN (event_id % 7) * 9 ELSE 0 END"
+
+
+def late_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feed`` in which a third of the vintages are ingested up to 54 hours later."""
+    event = F.regexp_extract("source_file", r"^0*(\d+)", 1).cast("long")
+    late = F.to_timestamp("ingested_at") + F.make_dt_interval(hours=F.expr(LATE_HOURS).cast("int"))
+    return feed(spark, sf_dir).withColumn("event_id", event).withColumn("ingested_at", F.date_format(late, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).drop("event_id")
+
+
 FEED_SQL = f"""
 feed AS (
   SELECT CASE WHEN event_id % 211 = 0 THEN 'not-a-timestamp' ELSE strftime(date_trunc('hour', t), '%Y-%m-%dT%H') END AS period,
@@ -47,6 +58,7 @@ feed AS (
          CASE WHEN event_id % 97 = 0 THEN 'n/a' WHEN event_id % 89 <> 0 THEN CAST(value AS VARCHAR) END AS value,
          lpad(CAST(event_id AS VARCHAR), 8, '0') || '.parquet' AS source_file, strftime(t, '%Y-%m-%dT%H:%M:%S.%f') AS ingested_at
   FROM (SELECT *, ts + INTERVAL {SHIFT_DAYS} DAY AS t FROM events))"""
+LATE_SQL = FEED_SQL.replace("feed AS (", "late_feed AS (").replace("strftime(t, '%Y-%m-%dT%H:%M:%S.%f') AS ingested_at", f"t + to_hours(CAST({LATE_HOURS} AS INTEGER)) AS known_at")
 RESOLVED_SQL = f"""{FEED_SQL},
 vintages AS (SELECT period, respondent, type, count(*) AS vintage_count, count(DISTINCT value) - 1 AS revision_count,
                     count(DISTINCT value) + max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) - 1 AS revision_count_nullsafe FROM feed GROUP BY ALL),

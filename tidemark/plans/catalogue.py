@@ -7,19 +7,18 @@ as text. Spark and SQL results are cast by that one declaration.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
-from tidemark.operators import audit, backtest, daily, evaluate, features, forecast, hourly, models, profiling, quality, registry, revisions, weather
+from tidemark.operators import asof, audit, backtest, daily, evaluate, features, forecast, hourly, models, profiling, quality, registry, revisions, weather
 from tidemark.plans import adapters as a
 from tidemark.plans.silver import build_silver
 from tidemark.plans.refit import split_holdout
 from tidemark.session import utc
-from tidemark.sources.tables import load, scratch
+from tidemark.sources.tables import load, place, staged
 from tidemark.streaming.ingest import hourly_counts, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,7 +166,17 @@ def metric_coverage(spark, sf_dir):
 
 # ---- calendar and contract
 
-_CALENDAR_DAYS = "SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2027-12-31', INTERVAL 1 DAY)) AS DATE) AS local_date"
+_ORDER_ENDS = "(SELECT CAST(min(o_orderdate) AS DATE) AS low, CAST(max(o_orderdate) AS DATE) AS high FROM orders)"
+_CALENDAR_DAYS = f"SELECT CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE) AS local_date FROM {_ORDER_ENDS}"
+
+
+def _order_ends(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """First and last day of the orders."""
+    day = F.to_date("o_orderdate")
+    ends = load(spark, sf_dir, "orders").agg(F.min(day).alias("low"), F.max(day).alias("high")).first()
+    return str(ends["low"]), str(ends["high"])
+
+
 _HOLIDAYS = """
 y AS (SELECT unnest(range(1993, 2031)) AS y),
 holidays AS (SELECT y, 0 AS k, 'new_year' AS name, make_date(y, 1, 1) AS h FROM y UNION ALL
@@ -180,39 +189,39 @@ holidays AS (SELECT y, 0 AS k, 'new_year' AS name, make_date(y, 1, 1) AS h FROM
 
 @query("local_date:d expected_hours:i is_weekend:b day_of_week:i month:i year:i", f"SELECT local_date, {a.day_hours_sql('local_date')} AS expected_hours, isodow(local_date) >= 6 AS is_weekend, isodow(local_date) AS day_of_week, month(local_date) AS month, year(local_date) AS year FROM ({_CALENDAR_DAYS})")
 def calendar_dim(spark, sf_dir):
-    return cal.calendar_frame(spark, "1995-01-01", "2027-12-31", a.TZ)
+    return cal.calendar_frame(spark, *_order_ends(spark, sf_dir), a.TZ)
 
 
 @query("local_date:d holiday_name:s is_holiday:b days_to_nearest_holiday:i", f"{_HOLIDAYS}, d AS ({_CALENDAR_DAYS}), near AS (SELECT local_date, arg_min(local_date - h, (abs(local_date - h), y, k)) AS gap FROM d JOIN holidays ON y BETWEEN year(local_date) - 1 AND year(local_date) + 1 GROUP BY local_date) ;; SELECT near.local_date, name AS holiday_name, name IS NOT NULL AS is_holiday, gap AS days_to_nearest_holiday FROM near LEFT JOIN holidays ON h = local_date")
 def holiday_distance(spark, sf_dir):
-    return cal.with_holidays(cal.days_between(spark, "1995-01-01", "2027-12-31"))
+    return cal.with_holidays(cal.days_between(spark, *_order_ends(spark, sf_dir)))
 
 
 _CONTRACT = f"""{_HOLIDAYS},
-dates AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2025-12-31', INTERVAL 1 DAY)) AS DATE) AS forecast_date),
+dates AS (SELECT CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE) AS forecast_date FROM {_ORDER_ENDS}),
 cut AS (SELECT forecast_date, timezone('UTC', timezone('{a.TZ}', CAST(forecast_date AS TIMESTAMP) + INTERVAL 10 HOUR)) AS cutoff_utc, forecast_date + 1 AS target_local_date,
                timezone('UTC', timezone('{a.TZ}', CAST(forecast_date + 1 AS TIMESTAMP))) AS low, timezone('UTC', timezone('{a.TZ}', CAST(forecast_date + 2 AS TIMESTAMP))) AS high FROM dates),
 contract AS (SELECT forecast_date, cutoff_utc, target_local_date, unnest(generate_series(low, high - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS target_timestamp_utc FROM cut),
 gaps AS (SELECT target_local_date AS g, arg_min(target_local_date - h, (abs(target_local_date - h), y, k)) AS gap FROM cut JOIN holidays ON y BETWEEN year(target_local_date) - 1 AND year(target_local_date) + 1 GROUP BY 1)"""
 
 
-def _contract(spark: SparkSession) -> DataFrame:
-    return cal.contract_frame(spark, "2024-01-01", "2025-12-31", a.TZ)
+def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cal.contract_frame(spark, *_order_ends(spark, sf_dir), a.TZ)
 
 
 @query("forecast_date:d cutoff_utc:t target_timestamp_utc:t target_local_date:d target_local_hour:i hours_ahead:r day_of_week:i month:i day_of_year:i is_weekend:b is_holiday:b days_to_nearest_holiday:i", f"{_CONTRACT} ;; SELECT *, hour(timezone('{a.TZ}', timezone('UTC', target_timestamp_utc))) AS target_local_hour, (epoch(target_timestamp_utc) - epoch(cutoff_utc)) / 3600 AS hours_ahead, isodow(target_local_date) AS day_of_week, month(target_local_date) AS month, dayofyear(target_local_date) AS day_of_year, isodow(target_local_date) >= 6 AS is_weekend, gap = 0 AS is_holiday, gap AS days_to_nearest_holiday FROM contract JOIN gaps ON g = target_local_date")
 def contract_frame(spark, sf_dir):
-    return _contract(spark)
+    return _contract(spark, sf_dir)
 
 
-@query("window_start:d window_end:d", "m AS (SELECT CAST(unnest(generate_series(DATE '2019-01-01', DATE '2024-05-10', INTERVAL 1 MONTH)) AS DATE) AS m) ;; SELECT greatest(m, DATE '2019-01-15') AS window_start, least(last_day(m), DATE '2024-05-10') AS window_end FROM m")
+@query("window_start:d window_end:d", f"e AS {_ORDER_ENDS}, m AS (SELECT low, high, CAST(unnest(generate_series(date_trunc('month', low), high, INTERVAL 1 MONTH)) AS DATE) AS m FROM e) ;; SELECT greatest(m, low) AS window_start, least(last_day(m), high) AS window_end FROM m")
 def month_windows(spark, sf_dir):
-    return cal.month_windows(spark, "2019-01-15", "2024-05-10")
+    return cal.month_windows(spark, *_order_ends(spark, sf_dir))
 
 
-@query("window_start:d window_end:d", "m AS (SELECT CAST(unnest(generate_series(DATE '2021-03-24', DATE '2024-05-10', INTERVAL 6 MONTH)) AS DATE) AS m) ;; SELECT m AS window_start, least(CAST(m + INTERVAL 6 MONTH AS DATE) - 1, DATE '2024-05-10') AS window_end FROM m")
+@query("window_start:d window_end:d", f"e AS {_ORDER_ENDS}, m AS (SELECT high, CAST(unnest(generate_series(low, high, INTERVAL 6 MONTH)) AS DATE) AS m FROM e) ;; SELECT m AS window_start, least(CAST(m + INTERVAL 6 MONTH AS DATE) - 1, high) AS window_end FROM m")
 def month_chunks(spark, sf_dir):
-    return cal.month_chunks(spark, "2021-03-24", "2024-05-10")
+    return cal.month_chunks(spark, *_order_ends(spark, sf_dir))
 
 
 # ---- gold
@@ -288,8 +297,10 @@ def weather_daily_whole(spark, sf_dir):
 
 # ---- features
 
+#: Days of hours before the first forecast date.
+WARM_UP_DAYS = 5
 _FRAME = f"""{a.SILVER_SQL},
-fd AS (SELECT CAST(unnest(generate_series(DATE '2024-03-05', DATE '2024-03-30', INTERVAL 1 DAY)) AS DATE) AS forecast_date),
+fd AS (SELECT CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE) AS forecast_date FROM (SELECT CAST(min(event_timestamp_utc) AS DATE) + {WARM_UP_DAYS} AS low, CAST(max(event_timestamp_utc) AS DATE) AS high FROM silver)),
 fc AS (SELECT forecast_date, timezone('UTC', timezone('{a.TZ}', CAST(forecast_date AS TIMESTAMP) + INTERVAL 10 HOUR)) AS cutoff_utc, forecast_date + 1 AS target_local_date,
               timezone('UTC', timezone('{a.TZ}', CAST(forecast_date + 1 AS TIMESTAMP))) AS low, timezone('UTC', timezone('{a.TZ}', CAST(forecast_date + 2 AS TIMESTAMP))) AS high FROM fd),
 frame AS (SELECT region_id, forecast_date, cutoff_utc, target_local_date, unnest(generate_series(low, high - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS target_timestamp_utc FROM fc CROSS JOIN (SELECT DISTINCT region_id FROM silver)),
@@ -298,9 +309,21 @@ rolled AS (SELECT *, avg(demand) OVER r AS roll_mean, stddev_samp(demand) OVER r
 _KEY = "region_id:s forecast_date:d target_timestamp_utc:t"
 
 
-def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = cal.contract_frame(spark, "2024-03-05", "2024-03-30", a.TZ)
-    return features.build_features(silver(spark, sf_dir), frame, None, features.MODEL_A, tz=a.TZ)
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The silver hours, written once for all that read them."""
+    return staged(silver(spark, sf_dir), "silver")
+
+
+def _frame(spark: SparkSession, hours: DataFrame) -> DataFrame:
+    """The contract of all forecast dates that the hours allow."""
+    day = F.to_date("event_timestamp_utc")
+    ends = hours.agg(F.date_add(F.min(day), WARM_UP_DAYS).alias("low"), F.max(day).alias("high")).first()
+    return cal.contract_frame(spark, str(ends["low"]), str(ends["high"]), a.TZ)
+
+
+def _feature_rows(spark: SparkSession, sf_dir: str, hours: DataFrame | None = None, specs: list[features.FeatureSpec] = features.MODEL_A, sources: bool = False) -> DataFrame:
+    hours = _hours(spark, sf_dir) if hours is None else hours
+    return features.build_features(hours, _frame(spark, hours), None, specs, tz=a.TZ, sources=sources)
 
 
 def _at(anchor: str, hours: int, column: str = "demand", table: str = "lookup") -> str:
@@ -332,8 +355,8 @@ def feature_label(spark, sf_dir):
 
 @query(f"{_KEY} target_local_date:d temp_c_region_mean_lead2:r temp_c_target_day_max_lead2:r", f"{_FRAME}, {a.WEATHER_SQL}, ww AS (SELECT valid_timestamp_utc AS h, avg(temperature_c) AS m FROM w WHERE forecast_lead_days = 2 GROUP BY 1), wh AS (SELECT CAST(timezone('{a.TZ}', timezone('UTC', valid_timestamp_utc)) AS DATE) AS d, valid_timestamp_utc, avg(temperature_c) AS t FROM w WHERE forecast_lead_days = 2 GROUP BY ALL), wd AS (SELECT d, CASE WHEN count(t) = count(*) THEN max(t) END AS mx FROM wh GROUP BY 1) ;; SELECT f.*, m AS temp_c_region_mean_lead2, mx AS temp_c_target_day_max_lead2 FROM frame f LEFT JOIN ww ON ww.h = f.target_timestamp_utc AND f.region_id = 'R0' LEFT JOIN wd ON wd.d = f.target_local_date AND f.region_id = 'R0'")
 def feature_weather(spark, sf_dir):
-    frame = cal.contract_frame(spark, "2024-03-05", "2024-03-30", a.TZ)
-    return features.build_features(silver(spark, sf_dir), frame, clean_weather(spark, sf_dir), tz=a.TZ, points=a.POINTS)
+    hours = _hours(spark, sf_dir)
+    return features.build_features(hours, _frame(spark, hours), clean_weather(spark, sf_dir), tz=a.TZ, points=a.POINTS)
 
 
 @query("feature:s coverage_pct:r", f"{_FRAME}, l AS (SELECT {', '.join(f'{_at(*v)} AS {n}' for n, v in _LAGS.items())} FROM frame f) ;; SELECT feature, 100.0 * count(v) / count(*) AS coverage_pct FROM l UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(_LAGS)})) GROUP BY 1")
@@ -355,7 +378,7 @@ def _audit_sql(specs: list[features.FeatureSpec]) -> str:
             anchor = "cutoff_utc" if s.anchor is features.Anchor.CUTOFF else "target_timestamp_utc"
             at = f"{anchor} + INTERVAL ({a.EVENTS.publication_lag_hours[s.metric] - s.offset_hours}) HOUR"
         rows.append(f"SELECT '{s.name}' AS feature, cutoff_utc, target_timestamp_utc, {at} AS available_at FROM contract")
-    return f"{_CONTRACT}, known AS ({' UNION ALL '.join(rows)}), late AS (SELECT *, coalesce(available_at > cutoff_utc, false) AS is_late, (epoch(available_at) - epoch(cutoff_utc)) / 3600 AS hours FROM known)"
+    return f"{_FRAME}, contract AS (SELECT DISTINCT cutoff_utc, target_timestamp_utc, target_local_date FROM frame), known AS ({' UNION ALL '.join(rows)}), late AS (SELECT *, coalesce(available_at > cutoff_utc, false) AS is_late, (epoch(available_at) - epoch(cutoff_utc)) / 3600 AS hours FROM known)"
 
 
 _REPORT = "SELECT feature, count(*) AS pairs, sum(is_late::INT) AS violations, max(CASE WHEN is_late THEN hours END) AS max_hours_late FROM late GROUP BY 1"
@@ -363,17 +386,72 @@ _REPORT = "SELECT feature, count(*) AS pairs, sum(is_late::INT) AS violations, m
 
 @query("feature:s pairs:i violations:i max_hours_late:r", f"{_audit_sql(features.MODEL_B)} ;; {_REPORT}")
 def leakage_audit(spark, sf_dir):
-    return audit.audit_report(_contract(spark), features.MODEL_B)
+    return audit.audit_report(_feature_rows(spark, sf_dir), features.MODEL_B)
 
 
 @query("feature:s pairs:i violations:i max_hours_late:r", f"{_audit_sql([*features.KNOWN_LEAKY, *features.LEAD1_VARIANT])} ;; {_REPORT}")
 def leakage_known_bad(spark, sf_dir):
-    return audit.audit_report(_contract(spark), [*features.KNOWN_LEAKY, *features.LEAD1_VARIANT])
+    return audit.audit_report(_feature_rows(spark, sf_dir), [*features.KNOWN_LEAKY, *features.LEAD1_VARIANT])
 
 
 @query("feature:s cutoff_utc:t target_timestamp_utc:t hours_late:r", f"{_audit_sql(features.KNOWN_LEAKY)} ;; SELECT *, hours AS hours_late FROM late WHERE is_late ORDER BY hours DESC, feature, cutoff_utc, target_timestamp_utc LIMIT 50")
 def leakage_worst(spark, sf_dir):
-    return audit.worst_first(audit.violations(_contract(spark), features.KNOWN_LEAKY)).limit(50)
+    return audit.worst_first(audit.violations(_feature_rows(spark, sf_dir), features.KNOWN_LEAKY)).limit(50)
+
+
+_READ_SPECS = [*features.DEMAND, *[s for s in features.KNOWN_LEAKY if s.metric == "D"]]
+
+
+def _joined_sql() -> str:
+    """The hour that each feature reads, NULL where there is no value, beside the hour that its spec declares."""
+    rows = []
+    for spec in _READ_SPECS:
+        anchor = "cutoff_utc" if spec.anchor is features.Anchor.CUTOFF else "target_timestamp_utc"
+        read = _at(anchor, spec.offset_hours, "rolled_read" if spec.name in features.ROLLING else "read", "known")
+        if spec.name == features.PREVIOUS_WEEK:
+            read = f"greatest({', '.join(_at(anchor, 24 * d, 'read', 'known') for d in features.PREVIOUS_WEEK_DAYS)})"
+        rows.append(f"SELECT '{spec.name}' AS feature, cutoff_utc, {read} AS read, {anchor} - INTERVAL {spec.offset_hours} HOUR AS declared FROM frame f")
+    lag = a.EVENTS.publication_lag_hours["D"]
+    return f"""{_FRAME},
+marked AS (SELECT region_id, h, CASE WHEN demand IS NOT NULL THEN h END AS read FROM lookup),
+known AS (SELECT *, max(read) OVER (PARTITION BY region_id ORDER BY h RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW) AS rolled_read FROM marked),
+each AS ({' UNION ALL '.join(rows)}) ;;
+SELECT feature, count(*) AS values, sum((read + INTERVAL {lag} HOUR > cutoff_utc)::INT) AS violations,
+       max(CASE WHEN read + INTERVAL {lag} HOUR > cutoff_utc THEN (epoch(read) - epoch(cutoff_utc)) / 3600 + {lag} END) AS max_hours_late, sum((read > declared)::INT) AS later_than_declared
+FROM each WHERE read IS NOT NULL GROUP BY 1"""
+
+
+@query("feature:s values:i violations:i max_hours_late:r later_than_declared:i", _joined_sql())
+def joined_audit(spark, sf_dir):
+    """What every feature really read, leaky ones among them."""
+    return audit.joined_report(_feature_rows(spark, sf_dir, None, _READ_SPECS, True), _READ_SPECS, a.EVENTS)
+
+
+_KNOWN_LAGS = [*_LAGS, *features.ROLLING, features.PREVIOUS_WEEK]
+
+
+def _as_known_sql() -> str:
+    asked = {name: f"{anchor} - INTERVAL {hours} HOUR" for name, (anchor, hours) in _LAGS.items()}
+    asked |= {f"hour_{k}": f"cutoff_utc - INTERVAL {features.ROLLING_ANCHOR_HOURS + k} HOUR" for k in range(features.ROLLING_HOURS)}
+    asked |= {f"day_{d}": f"target_timestamp_utc - INTERVAL {24 * d} HOUR" for d in features.PREVIOUS_WEEK_DAYS}
+    hours = ", ".join(f"{{'name': '{name}', 'h': {hour}}}" for name, hour in asked.items())
+    picked = ", ".join(f"max(demand) FILTER (name = '{name}') AS {name}" for name in _LAGS)
+    rolled, week = "starts_with(name, 'hour_')", "starts_with(name, 'day_')"
+    low, high = a.EVENTS.bounds["D"]
+    return f"""{_FRAME}, {a.LATE_SQL.strip()},
+readings AS (SELECT respondent AS region_id, try_strptime(period, '%Y-%m-%dT%H') AS h, known_at, source_file, CASE WHEN num BETWEEN {low} AND {high} THEN num END AS demand
+             FROM (SELECT *, try_cast(value AS DOUBLE) AS num FROM late_feed) WHERE type = 'D' AND respondent IS NOT NULL AND try_strptime(period, '%Y-%m-%dT%H') IS NOT NULL),
+asked AS (SELECT region_id, forecast_date, cutoff_utc, target_timestamp_utc, unnest([{hours}], recursive := true) FROM frame),
+got AS (SELECT a.*, v.demand, v.known_at FROM asked a LEFT JOIN readings v ON v.region_id = a.region_id AND v.h = a.h AND v.known_at <= a.cutoff_utc
+        QUALIFY row_number() OVER (PARTITION BY a.region_id, a.forecast_date, a.target_timestamp_utc, a.name ORDER BY v.known_at DESC NULLS LAST, v.source_file DESC) = 1) ;;
+SELECT region_id, forecast_date, target_timestamp_utc, {picked}, avg(demand) FILTER ({rolled}) AS {features.ROLLING[0]}, stddev_samp(demand) FILTER ({rolled}) AS {features.ROLLING[1]},
+       avg(demand) FILTER ({week}) AS {features.PREVIOUS_WEEK}, max(known_at) AS newest_known_at FROM got GROUP BY 1, 2, 3"""
+
+
+@query(f"{_KEY} " + " ".join(f"{n}:r" for n in _KNOWN_LAGS) + " newest_known_at:t", _as_known_sql())
+def features_as_known(spark, sf_dir):
+    """Features from the vintages that were there at the cutoff, of a feed with revisions after it."""
+    return asof.features_as_known(a.late_feed(spark, sf_dir), _frame(spark, spine(spark, sf_dir)), features.MODEL_A, a.EVENTS)
 
 
 # ---- backtest and evaluation
@@ -528,13 +606,14 @@ def forecast_accuracy(spark, sf_dir):
 
 def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of silver hours, as a serving run would have left them: the lag of a week and the published forecast."""
-    rows = _feature_rows(spark, sf_dir)
+    hours = _hours(spark, sf_dir)
+    rows = _feature_rows(spark, sf_dir, hours)
     both = F.explode(F.array(F.struct(F.lit("seasonal_naive").alias("model"), F.col("demand_same_hour_minus_7d").alias("p")), F.struct(F.lit("eia_df").alias("model"), F.col("benchmark_eia_df_mwh").alias("p"))))
     made = rows.withColumn("m", both).select("*", "m.model", F.col("m.p").alias("prediction_mwh")).drop("m")
     end = F.when(F.col("model") == "eia_df", F.lit(None)).otherwise(F.lit("2024-03-15")).cast("date")
     made = made.withColumns({"train_end": end, "train_rows": F.lit(1).cast("long"), "fold": F.lit(0)})
     runs = forecast.forecast_runs(made)
-    return forecast.served_accuracy(forecast.forecast_predictions(made, runs).filter("predicted_p50_mwh is not null"), runs, silver(spark, sf_dir))
+    return forecast.served_accuracy(forecast.forecast_predictions(made, runs).filter("predicted_p50_mwh is not null"), runs, hours)
 
 
 _SERVED_SQL = f"""{_FRAME},
@@ -616,6 +695,12 @@ def yearly_coverage(spark, sf_dir):
     return profiling.yearly_coverage(silver(spark, sf_dir))
 
 
+@query("region_id:s year:i mean_peak:r growth_pct:r", f"{a.ORDERS_SQL}, d AS (SELECT region_id, target_local_date, max(label) AS peak FROM features GROUP BY 1, 2), y AS (SELECT region_id, year(target_local_date) AS year, avg(peak) AS mean_peak FROM d GROUP BY 1, 2) ;; SELECT *, 100 * (mean_peak - lag(mean_peak) OVER (PARTITION BY region_id ORDER BY year)) / lag(mean_peak) OVER (PARTITION BY region_id ORDER BY year) AS growth_pct FROM y")
+def growth(spark, sf_dir):
+    peaks = a.order_features(spark, sf_dir).groupBy("region_id", "target_local_date").agg(F.max(features.LABEL).alias("peak_demand_mwh"))
+    return profiling.growth(peaks.withColumn("year", F.year("target_local_date")))
+
+
 # ---- long lags, gates and ingestion
 
 
@@ -656,10 +741,10 @@ def display_order(spark, sf_dir):
 @query("event_type:s rows:i event_ids:i rows_of_second_run:i", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS event_ids, 0 AS rows_of_second_run FROM events GROUP BY 1")
 def stream_ingest_rows(spark, sf_dir):
     """The events file as a landing tree, streamed twice into a table: the second run adds nothing."""
-    place = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    at = place(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    ingested = [ingest(spark, f"{sf_dir}/event[s].parquet", schema, f"{place}/bronze", f"{place}/checkpoint") for _ in range(2)]
-    rows = spark.read.parquet(f"{place}/bronze").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("event_ids"))
+    ingested = [ingest(spark, f"{sf_dir}/event[s].parquet", schema, f"{at}/bronze", f"{at}/checkpoint") for _ in range(2)]
+    rows = spark.read.parquet(f"{at}/bronze").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("event_ids"))
     return rows.withColumn("rows_of_second_run", F.lit(ingested[1]))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, FeedConfig
 from tidemark.functions.calendar import contract_frame
-from tidemark.operators.audit import leakage_gate
+from tidemark.operators.audit import joined_gate, leakage_gate
 from tidemark.operators.daily import daily_summary, peak_history
 from tidemark.operators.features import KNOWN_LEAKY, LABEL, MODEL_A, build_features, weather_specs
 from tidemark.operators.forecast import forecast_predictions, forecast_runs, served_accuracy
@@ -76,11 +76,12 @@ def daily_tasks(spark: SparkSession, settings: DailySettings) -> list[Task]:
         hours = read("electricity_hourly")
         ends = hours.agg(F.date_add(F.to_date(F.min("event_timestamp_utc")), settings.warm_up_days).alias("a"), F.date_sub(F.to_date(F.max("event_timestamp_utc")), 1).alias("b")).first()
         frame = contract_frame(spark, str(ends["a"]), str(ends["b"]), settings.config.tz, settings.config.cutoff_local_hour)
-        rows = write(build_features(hours, frame, read("weather_hourly"), specs, tz=settings.config.tz, points=settings.points), "features")
+        rows = write(build_features(hours, frame, read("weather_hourly"), specs, tz=settings.config.tz, points=settings.points, sources=True), "features")
         return {"rows": rows, "labelled": read("features").filter(F.col(LABEL).isNotNull()).count()}
 
     def audit(_: dict) -> dict:
         done = leakage_gate(read("features"), specs, KNOWN_LEAKY, settings.config)
+        joined_gate(read("features"), specs, settings.config)
         return {"pairs": done["checks"], "violations": done["violations"], "known_leaky_caught": done["known_leaky_caught"]}
 
     def forecast(_: dict) -> dict:
