@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import load, sliced, worker_cache
 
 LIMIT = 2048
-#: Bytes of chunks that a worker remembers at most, about, in either of two generations; and pairs of tokens, and states of words' beginnings of up to SHARED symbols.
-REMEMBERED_BYTES = 48 << 20
+#: Bytes of chunks that a worker remembers at most, about, in either of two generations; and pairs of tokens, and the longest word that is remembered.
+REMEMBERED_BYTES = 128 << 20
 REMEMBERED = 400_000
 SHARED = 48
 #: What an entry takes beside its text and counts.
@@ -83,6 +83,54 @@ def unpacked(changes: bytes | np.ndarray) -> np.ndarray:
     return np.frombuffer(changes, np.int8).astype(np.int32) if type(changes) is bytes else changes
 
 
+class Endings:
+    """An Aho-Corasick automaton over the vocabulary: which tokens end at a place, longest first.
+
+    Tokens are numbers. ``inner`` has the numbers of tokens by their text, ``closing`` of those that end a word by
+    their text without the mark; both kinds are found by one state.
+    """
+
+    def __init__(self, inner: dict[str, int], closing: dict[str, int]) -> None:
+        self.goto: list[dict[str, int]] = [{}]
+        texts, above = [""], [(0, "")]
+        for token in inner.keys() | closing.keys():
+            at = 0
+            for k, symbol in enumerate(token):
+                after = self.goto[at].get(symbol)
+                if after is None:
+                    after = self.goto[at][symbol] = len(texts)
+                    self.goto.append({})
+                    texts.append(token[: k + 1])
+                    above.append((at, symbol))
+                at = after
+        self.fail = [0] * len(texts)
+        self.found: list[tuple[list, list]] = [([], [])] * len(texts)
+        for node in sorted(range(1, len(texts)), key=lambda n: len(texts[n])):
+            parent, symbol = above[node]
+            if parent:
+                self.fail[node] = self.step(self.fail[parent], symbol)
+            # What ends in a shorter ending of the same text ends here too.
+            ends, text = self.found[self.fail[node]], texts[node]
+            own = [[(kind[text], len(text))] if text in kind else [] for kind in (inner, closing)]
+            self.found[node] = (own[0] + ends[0], own[1] + ends[1]) if own[0] or own[1] else ends
+
+    def step(self, state: int, symbol: str) -> int:
+        """The state after one more symbol: the longest beginning of a token that the text now ends with."""
+        while True:
+            after = self.goto[state].get(symbol)
+            if after is not None:
+                return after
+            if not state:
+                return 0
+            state = self.fail[state]
+
+
+#: Bits of a token's number in the key of a pair.
+TOKEN_BITS = 20
+#: The states of a text's prefixes: last token, tokens, tokens of the prefix as a whole word.
+States = tuple[list[int], list[int], list[int]]
+
+
 class PrefixCounter:
     """Counts tokens of prefixes for one tokenizers file with word-end symbols."""
 
@@ -108,9 +156,12 @@ class PrefixCounter:
         self.space = regex.compile(r"\s+")
         self.odd = regex.compile("[\x1c-\x1f]")
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: Tokens by number; none is the empty text.
+        self.tokens = ["", *sorted(self.vocab)]
+        number = {t: k for k, t in enumerate(self.tokens) if t}
+        self.endings = Endings(number, {text: number[t] for text, t in self.closing.items() if text})
+        self.fits: dict[int, bool] = {}
         self.chunk_known, self.word_known = Remembered(), Remembered(REMEMBERED_BYTES // 2)
-        self.root, self.remembered = ["", 0, 0, None], 0
         self.joining: frozenset[str] | None = None
 
     def merged(self, first: str, second: str) -> list[str]:
@@ -135,13 +186,12 @@ class PrefixCounter:
             parts = out
         return parts
 
-    def follows(self, first: str, second: str) -> bool:
-        key = (first, second)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()  # no more than the work of finding them again
-            found = self.fits[key] = self.apart(first, second) if first else self.merged("", second) == [second]
+    def follows(self, pair: int) -> bool:
+        """Whether the merges leave the second token of a pair apart from the first; from none, whether they make it at all."""
+        first, second = self.tokens[pair >> TOKEN_BITS], self.tokens[pair & ((1 << TOKEN_BITS) - 1)]
+        if len(self.fits) > REMEMBERED:
+            self.fits.clear()  # no more than the work of finding them again
+        found = self.fits[pair] = self.apart(first, second) if first else self.merged("", second) == [second]
         return found
 
     def apart(self, left: str, right: str) -> bool:
@@ -168,49 +218,40 @@ class PrefixCounter:
                 right = r[1]
                 before_left = min(before_left, r[0] + 1)
 
-    def state(self, text: str, end: int, path: list[list]) -> list:
-        """The state of text[:end], from those of shorter prefixes: last token, tokens, tokens as a whole word, and the states of longer ones by their next symbol."""
-        vocab, closing, fits = self.vocab, self.closing, self.fits
-        inner = whole = -1
-        for start in range(max(0, end - self.longest), end):
-            token = text[start:end]
-            if inner < 0 and token in vocab:
-                ok = fits.get((path[start][0], token))
-                if self.follows(path[start][0], token) if ok is None else ok:
-                    inner = start
-                    if whole >= 0:
-                        break
-            if whole < 0 and token in closing:
-                closed = closing[token]
-                ok = fits.get((path[start][0], closed))
-                if self.follows(path[start][0], closed) if ok is None else ok:
-                    whole = start
-                    if inner >= 0:
-                        break
-        if inner < 0 or whole < 0:
-            raise ValueError(f"no token ends {text[:end]!r}")
-        return [text[inner:end], path[inner][1] + 1, path[whole][1] + 1, None]
-
-    def states(self, text: str) -> list[list]:
-        """The recurrence over a word: the states of its prefixes, the empty one first. Words share the states of their common beginnings."""
-        if self.remembered > REMEMBERED:
-            self.root, self.remembered = ["", 0, 0, None], 0
-        node = self.root
-        path = [node]
-        for end, symbol in enumerate(text, 1):
-            longer = node[3]
-            found = longer.get(symbol) if longer else None
-            if found is None:
-                found = self.state(text, end, path)
-                if end <= SHARED:
-                    self.remembered += 1
-                    if longer is None:
-                        node[3] = {symbol: found}
-                    else:
-                        longer[symbol] = found
-            path.append(found)
-            node = found
-        return path
+    def states(self, text: str, before: States | None = None, head: str = "") -> States:
+        """The recurrence over a word, or over what follows ``head``, the last symbols of a word of the states ``before``.
+
+        Of the tokens that end at a place, longest first, the one that the merges leave apart from the token
+        before it is the last of the prefix.
+        """
+        last, counts, wholes = before or ([0], [0], [0])
+        goto, found, known, at = self.endings.goto, self.endings.found, self.fits.get, 0
+        add_last, add_count, add_whole = last.append, counts.append, wholes.append
+        for symbol in head:
+            at = self.endings.step(at, symbol)
+        for symbol in text:
+            after = goto[at].get(symbol)
+            at = self.endings.step(at, symbol) if after is None else after
+            inner, closing = found[at]
+            for token, n in inner:
+                pair = last[-n] << TOKEN_BITS | token
+                ok = known(pair)
+                if self.follows(pair) if ok is None else ok:
+                    break
+            else:
+                raise ValueError(f"no token ends in {symbol!r}")
+            for closed, m in closing:
+                pair = last[-m] << TOKEN_BITS | closed
+                ok = known(pair)
+                if self.follows(pair) if ok is None else ok:
+                    break
+            else:
+                raise ValueError(f"no token ends a word in {symbol!r}")
+            whole = counts[-m] + 1
+            add_count(counts[-n] + 1)
+            add_last(token)
+            add_whole(whole)
+        return last, counts, wholes
 
     def symbol_text(self, word: str) -> str:
         """The word in the vocabulary's symbols, one for each byte."""
@@ -223,11 +264,11 @@ class PrefixCounter:
 
     def word_prefixes(self, word: str) -> list[int]:
         """Tokens of word[:1], word[:2], ..., each taken as a whole word."""
-        path = self.states(self.symbol_text(word))
-        return [x[2] for x in path[1:]] if word.isascii() else [path[k][2] for k in self.char_ends(word)]
+        wholes = self.states(self.symbol_text(word))[2]
+        return wholes[1:] if word.isascii() else [wholes[k] for k in self.char_ends(word)]
 
     def word_count(self, word: str) -> int:
-        return self.states(self.symbol_text(word))[-1][2]
+        return self.states(self.symbol_text(word))[2][-1]
 
     def split(self, lower: str) -> list[str]:
         """Words of a normalised text without white space."""
@@ -302,14 +343,11 @@ class PrefixCounter:
                     # A long run goes on from the states of its word, so the cost does not grow with it.
                     if kept[0] != k:
                         kept = (k, (self.symbol_text(word), self.char_ends(word), self.states(self.symbol_text(word))))
-                    symbols, ends, path = kept[1]
+                    symbols, ends, held = kept[1]
                     end = ends[len(head) - 1]
                     low = max(0, end - 2 * self.longest)
-                    near, steps = symbols[low:end], path[low : end + 1]
-                    for symbol in self.symbol_text(pieces[0][len(head) :]):
-                        near += symbol
-                        steps.append(self.state(near, len(near), steps))
-                    total += steps[-1][2] + sum(map(self.word_count, pieces[1:]))
+                    near = tuple(x[low : end + 1] for x in held)
+                    total += self.states(self.symbol_text(pieces[0][len(head) :]), near, symbols[low:end])[2][-1] + sum(map(self.word_count, pieces[1:]))
                 else:
                     total += sum(map(self.word_count, pieces))
                 out.append(total)
