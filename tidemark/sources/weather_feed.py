@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.config import WEATHER_POINTS, WEATHER_VARIABLES
 from tidemark.sources.landing import LEADS
-from tidemark.sources.rest import call
+from tidemark.sources.rest import TransportError, call, first_day
 
 CHUNK_MONTHS = 6
 
@@ -87,3 +87,17 @@ class WeatherFeed(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+
+def first_weather_day(transport: Callable[[dict], dict], low: date, high: date) -> date | None:
+    """The first day for which the archive has a value of the first lead, asked of the source itself; a day that it refuses has none."""
+
+    def has_data(day: date) -> bool:
+        try:
+            places = fetch(transport, day, day)
+        except (PayloadError, TransportError):
+            return False
+        series = [s for place in places for name, s in place.get("hourly", {}).items() if name.endswith("_previous_day1")]
+        return any(v is not None for s in series for v in s)
+
+    return first_day(has_data, low, high)
