@@ -39,12 +39,12 @@ def hour_spine(wide: DataFrame) -> DataFrame:
     return common.select(REGION, F.explode(F.sequence("low", "high", one_hour())).alias(TIME))
 
 
-def attach_spine(wide: DataFrame, config: FeedConfig = DEFAULT) -> DataFrame:
-    """Missing hours become rows of NULLs with ``is_missing_hour``; an hour whose metrics are all NULL is missing too."""
+def attach_spine(wide: DataFrame, config: FeedConfig = DEFAULT, spine: DataFrame | None = None) -> DataFrame:
+    """Missing hours become rows of NULLs with ``is_missing_hour``; an hour whose metrics are all NULL is missing too. Without a given ``spine`` it is that of ``wide``."""
     missing = F.lit(True)
     for name in config.metrics.values():
         missing = missing & F.col(name).isNull()
-    return hour_spine(wide).join(wide, [REGION, TIME], "left").withColumn("is_missing_hour", missing)
+    return (hour_spine(wide) if spine is None else spine).join(wide, [REGION, TIME], "left").withColumn("is_missing_hour", missing)
 
 
 def add_local_time(rows: DataFrame, tz: str = DEFAULT.tz, time: str = TIME) -> DataFrame:

@@ -20,6 +20,7 @@ from tidemark.plans.refit import split_holdout
 from tidemark.session import utc
 from tidemark.sources.tables import load, place, staged
 from tidemark.streaming.ingest import hourly_counts, ingest
+from tidemark.streaming.rebuild import rebuild_days
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -738,6 +739,18 @@ def display_order(spark, sf_dir):
     return ordered.withColumn("place", F.row_number().over(Window.orderBy(evaluate.display_place(), "model")))
 
 
+@query(f"region_id:s event_timestamp_utc:t local_date:d local_hour:i {_METRICS} day_ahead_forecast_as_published_mwh:r is_missing_hour:b is_demand_anomaly_suspect:b is_above_historical_record:b revision_count:i ingested_at:s", f"{a.SILVER_SQL} ;; SELECT * FROM silver")
+def silver_by_touched_days(spark, sf_dir):
+    """The silver hours in two batches: all but the last days' rows, then these, which rebuild only the days that they touch."""
+    feed = staged(a.feed(spark, sf_dir), "feed")
+    cut = feed.agg(F.date_format(F.date_sub(F.to_date(F.to_timestamp(F.max("ingested_at"))), 2), "yyyy-MM-dd").alias("cut")).first()["cut"]
+    target = place(spark, "silver")
+    early, late = feed.filter(F.col("ingested_at") < cut), feed.filter(F.col("ingested_at") >= cut)
+    rebuild_days(spark, early, early, target, a.EVENTS)
+    rebuild_days(spark, feed, late, target, a.EVENTS)
+    return spark.read.parquet(target)
+
+
 @query("event_type:s rows:i event_ids:i rows_of_second_run:i", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS event_ids, 0 AS rows_of_second_run FROM events GROUP BY 1")
 def stream_ingest_rows(spark, sf_dir):
     """The events file as a landing tree, streamed twice into a table: the second run adds nothing."""

@@ -12,12 +12,12 @@ from tidemark.operators.revisions import resolve_revisions
 SILVER = ["region_id", "event_timestamp_utc", "local_timestamp", "local_date", "local_hour", "timezone", "actual_demand_mwh", "day_ahead_forecast_mwh", "day_ahead_forecast_as_published_mwh", "net_generation_mwh", "interchange_mwh", "is_missing_hour", "is_demand_anomaly_suspect", "is_above_historical_record", "revision_count", "ingested_at"]
 
 
-def build_silver(feed: DataFrame, config: FeedConfig = DEFAULT, fallback_to_valid: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(silver, quarantine). Vintages are resolved before validation, so the newest counts even if it is invalid; ``fallback_to_valid`` validates first."""
+def build_silver(feed: DataFrame, config: FeedConfig = DEFAULT, fallback_to_valid: bool = False, spine: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(silver, quarantine). Vintages are resolved before validation, so the newest counts even if it is invalid; ``fallback_to_valid`` validates first. ``spine`` gives the hours to build where they are not those of the feed itself."""
     if fallback_to_valid:
         valid, quarantine = split_quarantine(classify(feed, config))
         valid = resolve_revisions(valid)
     else:
         valid, quarantine = split_quarantine(classify(resolve_revisions(feed), config))
-    hours = add_local_time(attach_spine(pivot_hourly(valid, config), config), config.tz)
+    hours = add_local_time(attach_spine(pivot_hourly(valid, config), config, spine), config.tz)
     return flag_anomalies(align_day_ahead(hours), config).select(*SILVER), quarantine
