@@ -52,8 +52,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Staged tables of this driver that may be removed once their readers are done.
-_STAGED: list[str] = []
+class Scope:
+    """The staged tables that were made while it was open. Whoever opened it may remove them, and no others."""
+
+    _open: list[Scope] = []
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scope:
+        Scope._open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scope._open.remove(self)
+
+    def release(self, spark: SparkSession) -> None:
+        """Remove the tables. Only for callers who have written all that reads them."""
+        for path in self.paths:
+            removed(spark, path)
+        self.paths.clear()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, place = file_system(spark, path)
+    files.delete(place, True)
 
 
 def file_system(spark: SparkSession, path: str) -> tuple:
@@ -65,7 +88,8 @@ def file_system(spark: SparkSession, path: str) -> tuple:
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder. What is still there when the driver's JVM ends goes with it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    if Scope._open:
+        Scope._open[-1].paths.append(path)
     files, place = file_system(spark, path)
     files.deleteOnExit(place)
     return path
@@ -91,21 +115,18 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or stage_path(spark, name)
     with tidy_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Remove the staged tables so far. Only for callers who have written all that reads them."""
-    for path in [p for p in _STAGED if p not in keep]:
-        files, place = file_system(spark, path)
-        files.delete(place, True)
-        _STAGED.remove(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_path = path
+    return back
 
 
 def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
-    """Remove staged tables that nothing reads any more."""
-    names = {f.rsplit("/", 2)[1] for frame in frames for f in frame.inputFiles()}
-    release(spark, tuple(p for p in _STAGED if p.rsplit("/", 1)[1] not in names))
+    """Remove tables as ``staged`` gave them, for callers who made them and read them no more."""
+    for frame in frames:
+        path = getattr(frame, "_staged_path", None)
+        if path is None:
+            raise ValueError("only what staged() returned can be dropped")
+        removed(spark, path)
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
