@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import load, release, stage_path
+from tidemark.llm.common import Scope, load, removed, stage_path
 from tidemark.llm.decontamination import drop_contaminated
 from tidemark.llm.language import keep_identified
 from tidemark.llm.line_dedup import drop_lines
@@ -22,14 +22,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: No SQL: a trained network and Hamming components are beyond it; tests compare with brute force.
 ORACLE_SQL = None
 
-#: Where ``run`` has put the documents of the stage at work.
-_documents: list[str] = []
+#: What the stage called last has staged.
+_last = Scope()
 
 
 def _stage(work: Stage) -> Stage:
+    """The stage as it is called from outside: what the stage before it staged goes, since its result is written by then."""
+
     def start(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, tuple(_documents))  # what earlier stages staged; their results are written
-        return work(spark, docs, sf_dir)
+        _last.release(spark)
+        with _last:
+            return work(spark, docs, sf_dir)
 
     return start
 
@@ -44,22 +47,26 @@ def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("language_id", _stage(keep_identified)),
-    ("line_dedup", _stage(drop_lines)),
-    ("simhash_near_dedup", _stage(keep_one)),
-    ("benchmark_decontamination", _stage(drop_contaminated)),
-    ("packing", _stage(_pack)),
+WORK: list[tuple[str, Stage]] = [
+    ("language_id", keep_identified),
+    ("line_dedup", drop_lines),
+    ("simhash_near_dedup", keep_one),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", _pack),
 ]
+STAGES: list[tuple[str, Stage]] = [(name, _stage(work)) for name, work in WORK]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """All stages. Each removes what it staged once its result is written; other results of the session keep theirs."""
+    docs, before = load(spark, sf_dir, "documents"), None
+    for name, work in WORK[:-1]:
         path = stage_path(spark, name)
-        kept = stage(spark, docs, sf_dir)
-        _documents.append(path)
+        with Scope() as scope:
+            kept = work(spark, docs, sf_dir)
         kept.write.parquet(path)
-        del _documents[:-1]  # the documents before may go once this stage is written
-        docs = spark.read.schema(kept.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        scope.release(spark)
+        if before is not None:
+            removed(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
+    return WORK[-1][1](spark, docs, sf_dir)
