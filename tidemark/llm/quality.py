@@ -9,9 +9,10 @@ any size: they are drawn towards its language's, and those towards the corpus',
 had ``PRIOR`` documents more in the narrower one. So a verdict does not jump when a source grows, and
 one document alone sets no fence. Fences are joined back to the signals, never to the texts.
 
-A fence lies REACH times the distance of the outer decile from the median beyond that decile, and at
-least one step of the signal's own resolution: where nearly all documents have the same value, the
-distance is nothing and a single symbol or line would be beyond it.
+A fence lies REACH times the distance of the outer decile from the median beyond that decile. Signals that
+most documents do not have at all (symbols, duplicate lines, repeated words) are judged behind a hurdle: their
+sketches hold the documents that have them, so the fence says how much of it is usual where there is some, in
+that language and source, and documents without any always pass. No fence is a constant.
 
 Defined cases: a null text has no words and fails the base rule; null language or source is a group
 of its own (with the empty string); repeated rows count and appear once each; an empty table gives
@@ -37,8 +38,8 @@ MAX_REPEAT_PERCENT = 30
 PRIOR = 200
 #: Distance of a fence from the outer decile, in distances of that decile from the median.
 REACH = 3
-#: signal: (its resolution, whether it has a lower fence). Word length counts hundredths of a character, symbols and repeated words thousandths of the words, duplicate lines thousandths of the lines.
-SIGNALS: dict[str, tuple[int, bool]] = {"word_length": (150, True), "symbol_rate": (100, False), "dup_line_rate": (200, False), "repeat_rate": (150, False)}
+#: signal: whether it has a lower fence; a signal without one is judged behind the hurdle of having it at all. Word length counts hundredths of a character, symbols and repeated words thousandths of the words, duplicate lines thousandths of the lines.
+SIGNALS: dict[str, bool] = {"word_length": True, "symbol_rate": False, "dup_line_rate": False, "repeat_rate": False}
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -136,21 +137,22 @@ def fences(sketch: DataFrame) -> DataFrame:
     drawn = lambda q: f"(n * {q} + {PRIOR} * ((lang_n * lang_{q} + {PRIOR} * all_{q}) div (lang_n + {PRIOR}))) div (n + {PRIOR})"
     chosen = joined.select("lang", "source", "signal", *[F.expr(drawn(q)).alias(q) for q in ("q10", "q50", "q90")])
     out = []
-    for name, (least, lower) in SIGNALS.items():
+    for name, lower in SIGNALS.items():
         mine = F.col("signal") == name
         if lower:
-            out.append(F.max(F.when(mine, F.col("q10") - F.greatest(REACH * (F.col("q50") - F.col("q10")), F.lit(least)))).alias(f"{name}_lo"))
-        out.append(F.max(F.when(mine, F.col("q90") + F.greatest(REACH * (F.col("q90") - F.col("q50")), F.lit(least)))).alias(f"{name}_hi"))
+            out.append(F.max(F.when(mine, F.col("q10") - REACH * (F.col("q50") - F.col("q10")))).alias(f"{name}_lo"))
+        out.append(F.max(F.when(mine, F.col("q90") + REACH * (F.col("q90") - F.col("q50")))).alias(f"{name}_hi"))
     return chosen.groupBy("lang", "source").agg(*out)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts, base rule and verdict of each document. A document that meets the base rule stays unless a signal is beyond its group's fence."""
     measured = staged(text_metrics(docs), "quality").withColumn("base_failed", base_failed()).withColumns({name: signal(name) for name in SIGNALS})
-    rows = measured.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(name).alias("signal"), bucket(F.col(name)).alias("bucket")) for name in SIGNALS])).alias("s"))
+    held = [F.when(F.lit(lower) | (F.col(name) > 0), F.struct(F.lit(name).alias("signal"), bucket(F.col(name)).alias("bucket"))) for name, lower in SIGNALS.items()]
+    rows = measured.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array_compact(F.array(*held))).alias("s"))
     sketch = rows.groupBy("lang", "source", "s.signal", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
     inside = F.lit(True)
-    for name, (_, lower) in SIGNALS.items():
+    for name, lower in SIGNALS.items():
         inside = inside & F.coalesce(F.col(name) <= F.col(f"{name}_hi"), F.lit(True))
         if lower:
             inside = inside & F.coalesce(F.col(name) >= F.col(f"{name}_lo"), F.lit(True))
@@ -183,11 +185,11 @@ def _sql() -> str:
     drawn = lambda q: f"((a.n * {edge('a', q)} + {PRIOR} * ((b.n * {edge('b', q)} + {PRIOR} * {edge('c', q)}) // (b.n + {PRIOR}))) // (a.n + {PRIOR}))::BIGINT"
     picks = f"{drawn('q10')} AS lo10, {drawn('q50')} AS lo50, {drawn('q90')} AS hi90"
     bounds, inside = [], []
-    for name, (least, lower) in SIGNALS.items():
+    for name, lower in SIGNALS.items():
         if lower:
-            bounds.append(f"max(CASE WHEN signal = '{name}' THEN lo10 - greatest({REACH} * (lo50 - lo10), {least}) END) AS {name}_lo")
+            bounds.append(f"max(CASE WHEN signal = '{name}' THEN lo10 - {REACH} * (lo50 - lo10) END) AS {name}_lo")
             inside.append(f"coalesce({name} >= {name}_lo, true)")
-        bounds.append(f"max(CASE WHEN signal = '{name}' THEN hi90 + greatest({REACH} * (hi90 - lo50), {least}) END) AS {name}_hi")
+        bounds.append(f"max(CASE WHEN signal = '{name}' THEN hi90 + {REACH} * (hi90 - lo50) END) AS {name}_hi")
         inside.append(f"coalesce({name} <= {name}_hi, true)")
     return f"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
@@ -203,7 +205,8 @@ b AS (SELECT * EXCLUDE (wc), coalesce(wc, 0)::BIGINT AS word_chars, n_words < {M
 d AS (SELECT *, (100 * word_chars) // greatest(n_words, 1) AS word_length, (1000 * n_symbols) // greatest(n_words, 1) AS symbol_rate,
              (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_line_rate, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeat_rate FROM b),
 v AS (UNPIVOT (SELECT lang, source, word_length, symbol_rate, dup_line_rate, repeat_rate FROM d WHERE NOT base_failed) ON {', '.join(SIGNALS)} INTO NAME signal VALUE value),
-k AS (SELECT lang, source, signal, greatest(length(bin(value)) - 6, 0) * 32 + (value >> greatest(length(bin(value)) - 6, 0)) AS bucket FROM v),
+h AS (SELECT * FROM v WHERE value > 0 OR signal IN ({', '.join(f"'{name}'" for name, lower in SIGNALS.items() if lower)})),
+k AS (SELECT lang, source, signal, greatest(length(bin(value)) - 6, 0) * 32 + (value >> greatest(length(bin(value)) - 6, 0)) AS bucket FROM h),
 sk AS (SELECT lang, source, signal, bucket, count(*) AS n FROM k GROUP BY ALL),
 skl AS (SELECT lang, signal, bucket, sum(n) AS n FROM sk GROUP BY ALL),
 ska AS (SELECT signal, bucket, sum(n) AS n FROM skl GROUP BY ALL),
