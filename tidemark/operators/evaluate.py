@@ -10,6 +10,7 @@ from tidemark.functions.measures import day_type, regime, share_of
 from tidemark.operators.features import LABEL
 from tidemark.operators.models import Model
 
+# Models in the order of reports.
 MODEL_ORDER = ["seasonal_naive", "eia_df", "xgb_a", "xgb_b"]
 
 

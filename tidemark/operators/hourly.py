@@ -74,15 +74,18 @@ def align_day_ahead(spine: DataFrame, column: str = "day_ahead_forecast_mwh", pu
     return moved.withColumnRenamed(column, published).withColumnRenamed("_moved", column)
 
 
+def anomaly_flags(demand: Column, day_before: Column, day_after: Column, config: FeedConfig = DEFAULT) -> dict[str, Column]:
+    """The two flags of an hour from the same hour of the days around it: both must exist and both must disagree."""
+    ratio = F.lit(config.anomaly_ratio)
+    high, low = (demand > ratio * day_before) & (demand > ratio * day_after), (demand * ratio < day_before) & (demand * ratio < day_after)
+    comparable = demand.isNotNull() & day_before.isNotNull() & day_after.isNotNull()
+    return {"is_demand_anomaly_suspect": comparable & F.coalesce(high | low, F.lit(False)), "is_above_historical_record": above_record(demand, config.record_ceiling)}
+
+
 def flag_anomalies(spine: DataFrame, config: FeedConfig = DEFAULT, demand: str = "actual_demand_mwh") -> DataFrame:
-    """Compare each hour with the same hour of the days before and after: both must exist and both must disagree."""
+    """Compare each hour with the same hour of the days before and after."""
     near = over_stretches(spine, lambda by: {"_before": F.lag(demand, 24).over(by), "_after": F.lead(demand, 24).over(by)}, 24, 24)
-    d, p, n, ratio = F.col(demand), F.col("_before"), F.col("_after"), F.lit(config.anomaly_ratio)
-    high, low = (d > ratio * p) & (d > ratio * n), (d * ratio < p) & (d * ratio < n)
-    flags = {"is_demand_anomaly_suspect": F.coalesce(high | low, F.lit(False)), "is_above_historical_record": above_record(d, config.record_ceiling)}
-    comparable = d.isNotNull() & p.isNotNull() & n.isNotNull()
-    flags["is_demand_anomaly_suspect"] = comparable & flags["is_demand_anomaly_suspect"]
-    return near.withColumns(flags).drop("_before", "_after")
+    return near.withColumns(anomaly_flags(F.col(demand), F.col("_before"), F.col("_after"), config)).drop("_before", "_after")
 
 
 def completeness(silver: DataFrame, tz: str = DEFAULT.tz) -> DataFrame:

@@ -18,9 +18,11 @@ from tidemark.plans import adapters as a
 from tidemark.plans.silver import build_silver
 from tidemark.plans.refit import split_holdout
 from tidemark.session import utc
+from tidemark.sources import landing
 from tidemark.sources.tables import load, place, staged
 from tidemark.streaming.ingest import hourly_counts, ingest
 from tidemark.streaming.rebuild import rebuild_days
+from tidemark.streaming.silver import finished, follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,6 +167,35 @@ def metric_coverage(spark, sf_dir):
     return profiling.metric_coverage(silver(spark, sf_dir), list(a.EVENTS.metrics.values()))
 
 
+# ---- landing
+
+
+@query("period:s respondent:s respondent_name:s type:s type_name:s value:s value_units:s source:s source_file:s ingested_at:s", "SELECT strftime(ts, '%Y-%m-%dT%H') AS period, 'R' || (user_id % 3) AS respondent, 'Region ' || (user_id % 3) AS respondent_name, upper(event_type) AS type, event_type AS type_name, CASE WHEN event_id % 89 <> 0 THEN CAST(value AS VARCHAR) END AS value, NULL AS value_units, 'api' AS source, 'feed/' || strftime(ts, '%Y-%m') || '.parquet' AS source_file, 'run' AS ingested_at FROM events")
+def normalised_records(spark, sf_dir):
+    """Events as records of an API, with its names and types, made feed rows."""
+    region = (F.col("user_id") % 3).cast("string")
+    columns = {"Period": F.date_format("ts", "yyyy-MM-dd'T'HH"), "respondent": F.concat(F.lit("R"), region), "respondent-name": F.concat(F.lit("Region "), region), "type": F.upper("event_type"), "type-name": F.col("event_type"), "value": F.when(F.col("event_id") % 89 != 0, F.col("value")), "extra": F.col("event_id")}
+    records = load(spark, sf_dir, "events").select(*[c.alias(name) for name, c in columns.items()])
+    return landing.normalise_records(records, "run", F.concat(F.lit("feed/"), F.substring("Period", 1, 7), F.lit(".parquet")))
+
+
+@query("valid_timestamp_utc:s forecast_lead_days:i region_id:s point_id:s latitude:r longitude:r temperature_c:r dew_point_c:r source_file:s", "h AS (SELECT date_trunc('hour', ts) AS t, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY 1), w AS (SELECT t, 1 AS forecast_lead_days, cents / 100.0::DOUBLE AS temperature_c FROM h UNION ALL SELECT t, 2, CASE WHEN cents % 5 <> 0 THEN cents / 100.0::DOUBLE - 1 END FROM h) ;; SELECT strftime(t, '%Y-%m-%dT%H:%M') AS valid_timestamp_utc, forecast_lead_days, 'R0' AS region_id, 'chicago_comed' AS point_id, 40.5 AS latitude, -75.25 AS longitude, temperature_c, NULL AS dew_point_c, 'weather/' || strftime(t, '%Y-%m-%d') AS source_file FROM w")
+def flattened_payloads(spark, sf_dir):
+    """A JSON payload for each day of events, made rows by (hour, point, lead)."""
+    cents = F.sum(F.round(F.col("value") * 100).cast("long"))
+    hours = load(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("t")).agg(cents.alias("cents"))
+    days = hours.groupBy(F.to_date("t").alias("day")).agg(F.sort_array(F.collect_list(F.struct("t", "cents"))).alias("h"))
+    series = lambda f: F.transform("h", f)
+    hourly = F.struct(
+        series(lambda x: F.date_format(x["t"], "yyyy-MM-dd'T'HH:mm")).alias("time"),
+        series(lambda x: x["cents"] / 100).alias("temperature_2m_previous_day1"),
+        series(lambda x: F.when(x["cents"] % 5 != 0, x["cents"] / 100 - 1)).alias("temperature_2m_previous_day2"),
+    )
+    payloads = days.select(F.to_json(F.struct(F.lit(40.5).alias("latitude"), F.lit(-75.25).alias("longitude"), hourly.alias("hourly"))).alias("payload"))
+    flat = landing.flatten_weather(payloads, "run", "weather")
+    return flat.withColumn("source_file", F.concat(F.lit("weather/"), F.substring("valid_timestamp_utc", 1, 10)))
+
+
 # ---- calendar and contract
 
 _ORDER_ENDS = "(SELECT CAST(min(o_orderdate) AS DATE) AS low, CAST(max(o_orderdate) AS DATE) AS high FROM orders)"
@@ -751,6 +782,22 @@ def silver_by_touched_days(spark, sf_dir):
     return spark.read.parquet(target)
 
 
+@query(f"region_id:s event_timestamp_utc:t local_date:d local_hour:i {_METRICS} day_ahead_forecast_as_published_mwh:r is_missing_hour:b is_demand_anomaly_suspect:b is_above_historical_record:b revision_count:i ingested_at:s", f"{a.SILVER_SQL} ;; SELECT * FROM silver")
+def silver_by_stream(spark, sf_dir):
+    """The silver hours by the stream of a landed feed; two rows of no type, far ahead, let it end."""
+    at = place(spark, "silver-stream")
+    feed = staged(a.feed(spark, sf_dir), "feed")
+    last = F.date_add(F.to_date(F.to_timestamp(F.max("ingested_at"))), 400)
+    for number in range(3):
+        rows = feed
+        if number:
+            beat = feed.agg(F.date_format(F.date_add(last, number), "yyyy-MM-dd'T'HH").alias("period"))
+            rows = beat.select("period", *[F.lit(None).cast(f.dataType).alias(f.name) for f in feed.schema if f.name != "period"])
+        rows.select(*feed.columns).write.mode("append").parquet(f"{at}/landed")
+        hours = follow(spark, f"{at}/landed", feed.schema, f"{at}/hours", f"{at}/checkpoint", a.EVENTS, "60 days")
+    return finished(hours, a.EVENTS)
+
+
 @query("event_type:s rows:i event_ids:i rows_of_second_run:i", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS event_ids, 0 AS rows_of_second_run FROM events GROUP BY 1")
 def stream_ingest_rows(spark, sf_dir):
     """The events file as a landing tree, streamed twice into a table: the second run adds nothing."""

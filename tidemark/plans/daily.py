@@ -13,13 +13,15 @@ from tidemark.operators.audit import joined_gate, leakage_gate
 from tidemark.operators.daily import daily_summary, peak_history
 from tidemark.operators.features import KNOWN_LEAKY, LABEL, MODEL_A, build_features, weather_specs
 from tidemark.operators.forecast import forecast_predictions, forecast_runs, served_accuracy
+from tidemark.operators.quality import split_quarantine
 from tidemark.operators.registry import Registry
 from tidemark.operators.weather import build_weather
 from tidemark.plans.extract import ExtractSettings, extract
 from tidemark.plans.pipeline import DAILY_CHECKS, Task
 from tidemark.plans.refit import forecast_month
-from tidemark.plans.silver import build_silver
+from tidemark.plans.silver import judged, silver_hours
 from tidemark.sources.landing import FEED_SCHEMA, WEATHER_SCHEMA
+from tidemark.sources.tables import replace, staged
 from tidemark.streaming.ingest import ingest
 
 
@@ -49,7 +51,7 @@ def daily_tasks(spark: SparkSession, settings: DailySettings) -> list[Task]:
     kinds = {"feed": FEED_SCHEMA + ", date string", "weather": WEATHER_SCHEMA + ", date string"}
 
     def write(rows: DataFrame, name: str) -> int:
-        rows.write.mode("overwrite").parquet(at(name))
+        replace(rows, at(name))
         return read(name).count()
 
     specs = [*MODEL_A, *weather_specs(points=settings.points)]
@@ -65,7 +67,9 @@ def daily_tasks(spark: SparkSession, settings: DailySettings) -> list[Task]:
 
     def silver(_: dict) -> dict:
         drop = ["date", "_source_file", "_file_modified", "_bronze_loaded_at"]
-        hours, rejected = build_silver(read("bronze_feed").drop(*drop), settings.config)
+        # Both tables come from the judged rows, which are worked out once.
+        valid_rows, rejected = split_quarantine(staged(judged(read("bronze_feed").drop(*drop), settings.config), "judged"))
+        hours = silver_hours(valid_rows, settings.config)
         valid, _ = build_weather(read("bronze_weather").drop(*drop))
         return {"electricity_hourly": write(hours, "electricity_hourly"), "electricity_quarantine": write(rejected, "electricity_quarantine"), "weather_forecast_hourly": write(valid, "weather_hourly")}
 

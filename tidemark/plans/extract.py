@@ -12,7 +12,7 @@ from datetime import UTC, date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.landing import flatten_weather, write_landing
+from tidemark.sources.landing import flatten_weather, normalise_records, write_landing
 from tidemark.sources.rest import RestFeed
 from tidemark.sources.weather_feed import WeatherFeed
 
@@ -69,8 +69,8 @@ def _source(spark: SparkSession, kind: type, span: tuple[date, date], transport:
 
 def extract_feed(spark: SparkSession, landing: str, span: tuple[date, date], settings: ExtractSettings, run_at: str) -> dict:
     raw = _source(spark, RestFeed, span, settings.feed, types=settings.types, respondent=settings.respondent)
-    own = {"source": F.lit("api"), "source_file": F.concat(F.lit("feed/"), F.substring("period", 1, 7), F.lit(".parquet")), "ingested_at": F.lit(run_at)}
-    return _land(raw.withColumns(own), f"{landing}/feed", span)
+    of_month = F.concat(F.lit("feed/"), F.substring("period", 1, 7), F.lit(".parquet"))
+    return _land(normalise_records(raw, run_at, of_month), f"{landing}/feed", span)
 
 
 def extract_weather(spark: SparkSession, landing: str, span: tuple[date, date], settings: ExtractSettings, run_at: str) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,12 +14,12 @@ LEADS = (1, 2)
 _RECORD = ("period", "respondent", "respondent-name", "type", "type-name", "value", "value-units")
 
 
-def normalise_records(records: DataFrame, run_ts: str, source_file: str, source: str = "api") -> DataFrame:
-    """API records (names with hyphens, any types) as feed rows: all text, an absent field NULL."""
-    own = {c.lower(): c for c in records.columns}
+def normalise_records(records: DataFrame, run_ts: str, source_file: str | Column, source: str = "api") -> DataFrame:
+    """API records (names with hyphens or underscores, any types) as feed rows: all text, an absent field NULL. ``source_file`` is a name or follows from the record."""
+    own = {c.lower().replace("_", "-"): c for c in records.columns}
     field = lambda name: F.col(f"`{own[name]}`").cast("string") if name in own else F.lit(None).cast("string")
     columns = [field(name).alias(name.replace("-", "_")) for name in _RECORD]
-    return records.select(*columns, F.lit(source).alias("source"), F.lit(source_file).alias("source_file"), F.lit(run_ts).alias("ingested_at"))
+    return records.select(*columns, F.lit(source).alias("source"), (F.lit(source_file) if isinstance(source_file, str) else source_file).alias("source_file"), F.lit(run_ts).alias("ingested_at"))
 
 
 def payload_schema(leads: tuple[int, ...] = LEADS) -> T.StructType:

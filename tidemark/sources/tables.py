@@ -70,3 +70,17 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Write a table beside the one at ``path`` and swap the two: a task that dies leaves the old table or the new one, and may read the old one itself."""
+    spark = rows.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    rows.write.parquet(fresh)
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(hadoop(path)) and not files.rename(hadoop(path), hadoop(old)):
+        raise OSError(f"{path} cannot be moved")
+    if not files.rename(hadoop(fresh), hadoop(path)):
+        raise OSError(f"{fresh} cannot be moved to {path}")
+    files.delete(hadoop(old), True)
