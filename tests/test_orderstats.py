@@ -38,7 +38,7 @@ def kinds():
     }
 
 
-@pytest.mark.parametrize("small", [1, 5, 10_000])
+@pytest.mark.parametrize("small", [1, 10_000])
 def test_groups(spark, small):
     rows = [(k, v) for k, values in kinds().items() for v in values] + [(None, 1.0)]
     df = spark.createDataFrame(rows, "k string, x double")
@@ -79,7 +79,7 @@ def test_overlapping_windows_without_copies(spark, small):
                 assert got[k, w][name] == pytest.approx(continuous(values, q), abs=1e-12)
 
 
-@pytest.mark.parametrize(("window_months", "embargo"), [(None, 0), (3, 0), (None, 2), (4, 1)])
+@pytest.mark.parametrize(("window_months", "embargo"), [(None, 0), (4, 1)])
 def test_fold_thresholds_are_those_of_the_training_labels(spark, window_months, embargo):
     draw = np.random.default_rng(3)
     rows = [(date(2022, 1, 5) + timedelta(days=d), None if draw.random() < 0.1 else float(draw.integers(0, 10_000))) for d in range(700) for _ in range(draw.integers(1, 12))]
