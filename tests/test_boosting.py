@@ -180,3 +180,28 @@ def test_cuts_split_evenly_and_never_at_the_end():
     assert sizes.tolist() == [125] * 8
     assert q.cuts(q.summary(np.array([np.nan, 5.0, 5.0])), 8).tolist() == [] and q.cuts(q.summary(np.array([1.0, 2.0, 2.0, 2.0])), 8).tolist() == [1.0]
     assert q.merged([])[0].tolist() == []
+
+
+def test_a_level_has_no_more_tasks_than_fits(spark, monkeypatch):
+    """Levels are many and small: a task for each of the session's shuffle partitions made most of the time."""
+    kind, dealt = type(spark.range(1)), []
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda df, *a: dealt.append(df.rdd.getNumPartitions()) or persist(df, *a))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        b.fit_boosters(frame(spark, rows(120, 9)), [b.Fit(FEATURES, "label"), b.Fit(FEATURES[:2], "label")], b.Settings(rounds=1, depth=2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dealt == [2, 2]
+
+
+def test_ways_of_a_tree_are_its_routes():
+    """Rows in bins, sent by tables, end where the tree sends them, step by step."""
+    draw = np.random.default_rng(8)
+    tree = b.Trees.of(1, 3)
+    tree.feature[0, :5], tree.cut[0, :5], tree.missing_left[0, :5] = [0, 2, -1, 1, 2], draw.integers(0, 9, 5), draw.integers(0, 2, 5)
+    coded = draw.integers(0, 10, (3, 500)).astype(np.uint8)
+    assert b._followed(b._ways(tree, 0, 9), coded, 3, 9).tolist() == b._routed(tree, 0, coded, coded == 9).tolist()

@@ -354,16 +354,39 @@ def _in_bins(trees: Trees, edges: list[np.ndarray]) -> Trees:
     return Trees(trees.feature, cut, trees.missing_left, trees.value, trees.gain)
 
 
-def _applied(prediction: np.ndarray, pending: Trees, coded: np.ndarray, missing: np.ndarray) -> np.ndarray:
+def _ways(trees: Trees, k: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tree whose cuts are numbers of bins, as tables: the feature that a node asks and the node that follows, by (node, bin). Leaves follow themselves."""
+    inner, every = trees.feature[k] >= 0, np.arange(trees.feature.shape[1])
+    left = np.arange(bins + 1) <= trees.cut[k][:, None]
+    left[:, bins] = trees.missing_left[k]
+    following = np.where(inner[:, None], 2 * every[:, None] + 2 - left, every[:, None])
+    return np.where(inner, trees.feature[k], 0).astype(np.int64), following.astype(np.int64).ravel()
+
+
+def _followed(ways: tuple[np.ndarray, np.ndarray], coded: np.ndarray, steps: int, bins: int) -> np.ndarray:
+    """Node that each row of ``coded`` (feature, row; not spread in memory) has reached after so many steps."""
+    feature, following = ways
+    n, flat = coded.shape[1], coded.ravel()
+    every, node = np.arange(n), np.zeros(n, np.int64)
+    for _ in range(steps):
+        node = following.take(node * (bins + 1) + flat.take(feature.take(node) * n + every))
+    return node
+
+
+def _applied(prediction: np.ndarray, pending: list[tuple], coded: np.ndarray, settings: Settings) -> np.ndarray:
     out = prediction.copy()
-    for k in range(len(pending.feature)):
-        out += pending.value[k][_routed(pending, k, coded, missing)]
+    for ways, value in pending:
+        out += value.take(_followed(ways, coded, settings.depth, settings.bins))
     return out
 
 
+def _pending(trees: Trees, settings: Settings) -> list[tuple]:
+    return [(_ways(trees, k, settings.bins), trees.value[k]) for k in range(len(trees.feature))]
+
+
 def _histograms(sent, number: int, settings: Settings):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, held, size = sent.value, {}, 0
+        plan, held, size, tables = sent.value, {}, 0, {}
 
         def flushed() -> pa.RecordBatch:
             arrays = [pa.array(list(held), pa.int32()), pa.array([False] * len(held)), pa.array([h.tobytes() for h in held.values()], pa.binary())]
@@ -374,21 +397,26 @@ def _histograms(sent, number: int, settings: Settings):
                 if k not in plan:
                     continue
                 pending, current, built, step = plan[k]
-                missing = coded == settings.bins
-                node = _routed(current, 0, coded, missing)
+                if k not in tables:
+                    tables[k] = (_pending(pending, settings), _ways(current, 0, settings.bins))
+                before, ways = tables[k]
+                node = _followed(ways, coded, (built[-1] + 1).bit_length() - 1, settings.bins)
                 slot = np.full(len(current.feature[0]), -1)
                 slot[built] = np.arange(len(built))
-                rows = np.flatnonzero((slot[node] >= 0) & drawn_rows(keys, number, settings))
+                rows = np.flatnonzero(slot.take(node) >= 0)
+                rows = rows[drawn_rows(keys[rows], number, settings)]
                 if len(rows) == 0:
                     continue
-                gradient = np.rint((y - _applied(prediction, pending, coded, missing))[rows] * step)
+                # Only rows that count here need the trees since the last writing.
+                coded, node = coded.take(rows, axis=1), node.take(rows)
+                gradient = np.rint((y.take(rows) - _applied(prediction.take(rows), before, coded, settings)) * step)
                 chosen = drawn_features(len(coded), number, settings)
                 if k not in held:
                     held[k] = np.zeros((len(built), len(chosen), settings.bins + 1, 2), np.int64)
                     size += held[k].nbytes
-                place, cells = slot[node[rows]] * (settings.bins + 1), len(built) * (settings.bins + 1)
+                place, cells = slot.take(node) * (settings.bins + 1), len(built) * (settings.bins + 1)
                 for c, feature in enumerate(chosen):
-                    at = place + coded[feature, rows]
+                    at = place + coded[feature]
                     held[k][:, c, :, 0] += np.bincount(at, weights=gradient, minlength=cells).astype(np.int64).reshape(len(built), -1)
                     held[k][:, c, :, 1] += np.bincount(at, minlength=cells).reshape(len(built), -1)
                 if size > GATHERED_BYTES:
@@ -432,8 +460,13 @@ def _levels(sent, number: int, settings: Settings):
 
 def _updated(sent, settings: Settings):
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {}
         for batch in batches:
-            rows = [(k, coded.tobytes(), y.tobytes(), _applied(prediction, sent.value[k], coded, coded == settings.bins).tobytes(), keys.tobytes()) for k, coded, y, prediction, keys in _unpacked(batch)]
+            rows = []
+            for k, coded, y, prediction, keys in _unpacked(batch):
+                if k not in tables:
+                    tables[k] = _pending(sent.value[k], settings)
+                rows.append((k, coded.tobytes(), y.tobytes(), _applied(prediction, tables[k], coded, settings).tobytes(), keys.tobytes()))
             yield _packed(rows)
 
     return update
@@ -475,7 +508,9 @@ def _grow(state: DataFrame, growing: list[_Growing], settings: Settings, number:
         parts = state.mapInArrow(_histograms(tasks, number, settings), PARTS)
         if above is not None:
             parts = parts.unionByName(above.select("fit", F.lit(True).alias("parent"), "hist"))
-        above = parts.groupBy("fit").applyInArrow(_levels(plans, number, settings), LEVEL).persist()
+        # A row a fit comes back, whatever the data's size: more tasks than fits would stay empty, level after level.
+        dealt = parts.repartition(min(len(live), context.defaultParallelism), "fit")
+        above = dealt.groupBy("fit").applyInArrow(_levels(plans, number, settings), LEVEL).persist()
         levels.append(above)
         found = {r["fit"]: r for r in above.drop("hist").collect()}
         for k in live:
