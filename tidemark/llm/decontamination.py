@@ -3,9 +3,9 @@
 The training texts are indexed in blocks of documents: one row holds a block's terms and, for each,
 the sorted list of its positions in the block's token stream. Such an index is dealt by document, so
 a frequent term is spread over all blocks and no list is gathered in one place. A phrase is found
-from its rarest term: a block is asked only for windows whose rarest term it has; that term's list,
-moved back by the term's offset, is narrowed by the lists of the other terms, each moved by its own
-offset, from rare to frequent.
+from its rarest term: a block is asked only for windows of which it has all terms; the list of the
+term that is rarest there, moved back by the term's offset, is narrowed by the lists of the other
+terms, each moved by its own offset, from rare to frequent. All windows of a block are narrowed together.
 
 A proximity match has all terms in order, each at most ``slop`` places from where the phrase would
 have it. Its words are the terms' own positions, not the stretch between them.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ WINDOW = 13
 BLOCK_TOKENS = 400_000
 #: Different windows of the benchmark that one pass looks for, about.
 WINDOWS = 100_000
+#: Places of rarest terms that are narrowed together, about.
+CANDIDATES = 500_000
 #: Windows of one item that leave a worker at once.
 ITEM_WINDOWS = 20_000
 #: Places that a term may be off in a proximity match of the query.
@@ -63,34 +66,55 @@ def unpack_positions(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts`` (binary) one after the other, and how many each text has; cut by Arrow over the whole batch."""
+    texts = pc.fill_null(texts, b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    raw = texts.buffers()[2]
+    plain = bytes(raw[offsets[0] : offsets[-1]] if raw else b"").translate(TABLE)
+    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(plain)))
+    words = lists.values.view(pa.binary())
+    # A blank at an end of a text gives an empty word there.
+    full = pc.binary_length(words).to_numpy() > 0
+    before = np.concatenate([[0], np.cumsum(full)])
+    return words.filter(pa.array(full)), np.diff(before[lists.offsets.to_numpy()])
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "rows": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "n_words": pa.list_(pa.int32()), "terms": pa.list_(pa.binary()), "ends": pa.list_(pa.int32()), "positions": pa.binary()}
     base, made = TaskContext.get().partitionId() << 32, 0
-    ids, keys, starts, sizes, codes, known, place = [], [], [], [], [], {}, 0
+    ids, keys, starts, sizes, tokens, place = [], [], [], [], [], 0
 
     def row() -> pa.RecordBatch:
-        nonlocal made, ids, keys, starts, sizes, codes, known, place
-        term = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-        where = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes)]) if starts else np.zeros(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        ends = np.cumsum(np.bincount(term, minlength=len(known)))
-        values = [base + made, ids, keys, starts, sizes, list(known), ends.astype(np.int32), pack_positions(where[order])]
+        nonlocal made, ids, keys, starts, sizes, tokens, place
+        coded = pa.concat_arrays([pa.array([], pa.binary()), *tokens]).dictionary_encode()
+        lengths, terms = np.array(sizes), coded.dictionary
+        where = np.arange(lengths.sum()) + np.repeat(np.array(starts) - np.cumsum(lengths) + lengths, lengths)
+        # Terms in the upper half, positions in the lower: one sort puts each term's positions in order.
+        order = np.sort(coded.indices.to_numpy().astype(np.int64) << 32 | where)
+        ends = np.cumsum(np.bincount(order >> 32, minlength=len(terms)))
+        values = [base + made, ids, keys, starts, sizes, None, ends.astype(np.int32), pack_positions(order & 0xFFFFFFFF)]
+        columns = {name: pa.array([v], t) for (name, t), v in zip(types.items(), values) if name != "terms"}
+        columns["terms"] = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms)
         made += 1
-        ids, keys, starts, sizes, codes, known, place = [], [], [], [], [], {}, 0
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types.values())], names=list(types))
+        ids, keys, starts, sizes, tokens, place = [], [], [], [], [], 0
+        return pa.RecordBatch.from_arrays([columns[name] for name in types], names=list(types))
 
     for batch in sliced(batches):
-        for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-            words = words_of(text)
-            if ids and place + len(words) > BLOCK_TOKENS:
+        words, counts = tokens_of(batch.column("text"))
+        first = last = 0
+        for doc, key, n in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), counts.tolist()):
+            if ids and place + n > BLOCK_TOKENS:
+                tokens.append(words.slice(first, last - first))
+                first = last
                 yield row()
-            number = known.setdefault
-            codes.append(np.array([number(w, len(known)) for w in words], np.int32))
             ids.append(doc)
             keys.append(key)
             starts.append(place)
-            sizes.append(len(words))
-            place += len(words) + 1  # a gap, so that no phrase runs from one document into the next
+            sizes.append(n)
+            last += n
+            place += n + 1  # a gap, so that no phrase runs from one document into the next
+        tokens.append(words.slice(first, last - first))
     if ids:
         yield row()
 
@@ -121,84 +145,96 @@ def windows_of(benchmark: DataFrame, id_column: str = "item_id", text_column: st
     return found.select(F.xxhash64("words").alias("window"), "item", "words")
 
 
-def _frequencies(vocabulary):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, total = vocabulary.value, {}
-        for batch in sliced(batches, 1):
-            terms, sizes = batch.column("terms")[0].as_py(), np.diff(batch.column("ends")[0].values.to_numpy(), prepend=0)
-            for k, term in enumerate(terms):
-                if term in wanted:
-                    total[term] = total.get(term, 0) + int(sizes[k])
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-    return count
-
-
-def term_frequencies(index: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
-    """Occurrences in the corpus of each term of a bounded vocabulary."""
-    sent = index.sparkSession.sparkContext.broadcast(vocabulary)  # at most WINDOWS * WINDOW words
-    rows = index.select("terms", "ends").mapInArrow(_frequencies(sent), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {bytes(r["term"]): r["n"] for r in rows.collect()}
-
-
-def near_starts(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], slop: int = 0) -> np.ndarray:
-    """Places where a phrase, given as (term, offset) from rare to frequent, may start in one block: each term has an occurrence at most ``slop`` off its own place."""
-    first, offset = window[0]
-    starts = lists[first] - offset
-    if slop:
-        starts = np.unique((starts[:, None] + np.arange(-slop, slop + 1)).ravel())
-    for term, offset in window[1:]:
-        if not len(starts):
-            break
-        own, wanted = lists[term], starts + offset
-        at = np.searchsorted(own, wanted - slop)
-        inside = at < len(own)
-        inside[inside] = own[at[inside]] <= wanted[inside] + slop
-        starts = starts[inside]
-    return starts
-
-
-def in_order(window: list[tuple[bytes, int]], lists: dict[bytes, np.ndarray], starts: np.ndarray, slop: int) -> np.ndarray:
-    """(match, term) positions of the phrases at ``starts`` whose terms follow each other: each term takes its first occurrence after the one before it, which leaves the most room to the next."""
-    places, before, live = [], np.full(len(starts), -1), np.ones(len(starts), bool)
-    for term, offset in sorted(window, key=lambda x: x[1]):
-        own = lists[term]
-        at = np.searchsorted(own, np.maximum(before + 1, starts + offset - slop))
-        live &= at < len(own)
-        before = own[np.minimum(at, len(own) - 1)]
-        live &= before <= starts + offset + slop
-        places.append(before)
-    return np.stack(places, axis=1)[live]
+def starts_of(postings: np.ndarray, phrases: np.ndarray, ranks: np.ndarray, window: np.ndarray, starts: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) of the places where phrases may start in one block, of all windows at once, narrowed from rare terms to frequent ones:
+    each term has an occurrence at most ``slop`` off its own place. ``postings`` are terms and positions in one sorted number."""
+    for rank in range(1, phrases.shape[1]):
+        offset = ranks[window, rank]
+        wanted = (phrases[window, offset] << 32) + starts + offset
+        at = np.minimum(np.searchsorted(postings, wanted - slop), len(postings) - 1)
+        inside = (postings[at] >= wanted - slop) & (postings[at] <= wanted + slop)
+        window, starts = window[inside], starts[inside]
+    return window, starts
+
+
+def in_order(postings: np.ndarray, phrases: np.ndarray, window: np.ndarray, starts: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and (match, term) positions of the phrases at ``starts`` whose terms follow each other: each term takes its first occurrence after the one before it, which leaves the most room to the next."""
+    places = np.zeros((len(starts), 0), np.int64)
+    before = np.full(len(starts), -1)
+    for offset in range(phrases.shape[1]):
+        term = phrases[window, offset] << 32
+        at = np.minimum(np.searchsorted(postings, term + np.maximum(before + 1, starts + offset - slop)), len(postings) - 1)
+        found = postings[at] - term
+        live = (found > before) & (found >= starts + offset - slop) & (found <= starts + offset + slop)
+        window, starts, before = window[live], starts[live], found[live]
+        places = np.concatenate([places[live], before[:, None]], axis=1)
+    return window, places
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[slice]:
+    """Neighbours with CANDIDATES in all, about, at a time."""
+    first, total = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > first and total + n > CANDIDATES:
+            yield slice(first, k)
+            first, total = k, 0
+        total += n
+    if len(sizes):
+        yield slice(first, len(sizes))
 
 
 def _hits(sent, slop: int, every: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rarest, vocabulary = sent.value
+        vocabulary, groups = sent.value
         spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in sliced(batches, 1):  # a row is a whole block
             get = lambda name: batch.column(name)[0]  # noqa: E731, B023
-            doc_ids, rows, starts, sizes = get("doc_ids").as_py(), get("rows").as_py(), get("starts").values.to_numpy(), get("n_words").values.to_numpy()
-            ends, places, terms = get("ends").values.to_numpy(), unpack_positions(get("positions").as_py()), get("terms").as_py()
-            lists = {t: places[(ends[j - 1] if j else 0) : ends[j]] for j, t in enumerate(terms) if t in vocabulary}
+            starts, sizes = get("starts").values.to_numpy(), get("n_words").values.to_numpy()
+            ends, places = get("ends").values.to_numpy().astype(np.int64), unpack_positions(get("positions").as_py())
+            begins = np.concatenate([[0], ends])[:-1]
+            # Where each term of the windows stands in the block, and how often.
+            known = pc.index_in(get("terms").values, value_set=vocabulary)
+            there = np.flatnonzero(known.is_valid())
+            term = known.drop_null().to_numpy()
+            there, term = there[np.argsort(term)], np.sort(term).astype(np.int64)
+            lengths = (ends - begins)[there]
+            counts = np.zeros(len(vocabulary), np.int64)
+            counts[term] = lengths
+            inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            postings = np.repeat(term << 32, lengths) + places[np.repeat(begins[there], lengths) + inner]
+            begin = np.cumsum(counts) - counts
             size = int(starts[-1] + sizes[-1]) + 2
             marks, found = [np.zeros(size, np.int8), np.zeros(size, np.int8)], [{}, {}]
 
-            def mark(kind: int, matched: np.ndarray, window: int) -> None:
+            def mark(kind: int, window: np.ndarray, matched: np.ndarray) -> None:
                 docs = np.searchsorted(starts, matched[:, 0], side="right") - 1
                 inside = (matched[:, 0] >= 0) & (docs >= 0) & (matched[:, -1] < starts[docs] + sizes[docs])
                 marks[kind][matched[inside].ravel()] = 1
-                for doc in np.unique(docs[inside]).tolist():
-                    found[kind].setdefault(doc, []).append(window)
-
-            for term in lists.keys() & by_rarest.keys():
-                for window, phrase in by_rarest[term]:
-                    if any(t not in lists for t, _ in phrase):
-                        continue
-                    exact = near_starts(phrase, lists)
+                for doc, own in np.unique(np.stack([docs[inside], window[inside]]), axis=1).T.tolist():
+                    found[kind].setdefault(doc, set()).add(own)
+
+            for windows, all_phrases in groups:
+                often = counts[all_phrases]
+                live = np.flatnonzero((often > 0).all(axis=1))
+                # The block's own rarest term leads; ties are broken by offset.
+                all_ranks = np.argsort(often[live], axis=1, kind="stable")
+                least = often[live, all_ranks[:, 0]]
+                for part in _chunks(least * (2 * slop + 1)):
+                    own, phrases, ranks, n = live[part], all_phrases[live[part]], all_ranks[part], least[part]
+                    window = np.repeat(np.arange(len(own)), n)
+                    lead = begin[phrases[np.arange(len(own)), ranks[:, 0]]]
+                    at = np.repeat(lead - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    first = (postings[at] & 0xFFFFFFFF) - ranks[window, 0]
+                    exact, where = starts_of(postings, phrases, ranks, window, first)
                     if len(exact):
-                        mark(0, exact[:, None] + np.arange(len(phrase)), window)
-                    if slop and len(near := near_starts(phrase, lists, slop)) and len(matched := in_order(phrase, lists, near, slop)):
-                        mark(1, matched, window)
+                        mark(0, windows[own[exact]], where[:, None] + np.arange(phrases.shape[1]))
+                    if slop:
+                        # Starts from -(WINDOW + slop) on; a window's starts are told apart in one sorted number.
+                        near = np.unique(((window << 32)[:, None] + first[:, None] + np.arange(WINDOW, WINDOW + 2 * slop + 1)).ravel())
+                        near, where = starts_of(postings, phrases, ranks, near >> 32, (near & 0xFFFFFFFF) - WINDOW - slop, slop)
+                        near, matched = in_order(postings, phrases, near, where, slop)
+                        if len(near):
+                            mark(1, windows[own[near]], matched)
 
             def spans(kind: int) -> dict[int, list[dict]]:
                 out: dict[int, list[dict]] = {}
@@ -207,16 +243,29 @@ def _hits(sent, slop: int, every: bool):
                     out.setdefault(doc, []).append({"a": a - int(starts[doc]), "b": b - int(starts[doc])})
                 return out
 
-            own = range(len(doc_ids)) if every else sorted(found[0].keys() | found[1].keys())
+            own = range(len(starts)) if every else sorted(found[0].keys() | found[1].keys())
             cover = [spans(0), spans(1)]
-            columns = [pa.array([rows[d] for d in own], pa.int64()), pa.array([get("block").as_py()] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([doc_ids[d] for d in own], pa.int64()), pa.array([int(sizes[d]) for d in own], pa.int64())]
+            some = pa.array(list(own), pa.int32())
+            columns = [get("rows").values.take(some), pa.array([get("block").as_py()] * len(own), pa.int64()), some, get("doc_ids").values.take(some), pc.cast(get("n_words").values.take(some), pa.int64())]
             for kind in (0, 1):
-                columns += [pa.array([cover[kind].get(d, []) for d in own], spans_type), pa.array([found[kind].get(d, []) for d in own], pa.list_(pa.int64()))]
+                columns += [pa.array([cover[kind].get(d, []) for d in own], spans_type), pa.array([sorted(found[kind].get(d, ())) for d in own], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "block", "ordinal", "doc_id", "n_words", "spans", "windows", "near_spans", "near_windows"])
 
     return search
 
 
+def coded_windows(phrases: dict[int, list[bytes]]) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
+    """The terms of a bounded number of windows, and for each length of window its digests and a matrix of term numbers."""
+    numbers: dict[bytes, int] = {}
+    lengths: dict[int, list[int]] = {}
+    for window, words in phrases.items():
+        lengths.setdefault(len(words), []).append(window)
+        for w in words:
+            numbers.setdefault(w, len(numbers))
+    groups = [(np.array(own, np.int64), np.array([[numbers[w] for w in phrases[k]] for k in own], np.int64)) for own in lengths.values()]
+    return pa.array(list(numbers), pa.binary()), groups  # at most WINDOWS * WINDOW terms
+
+
 def _union_of(spans: str) -> Column:
     """Spans of several passes as disjoint ones in order."""
     start = F.array().cast(SPANS)
@@ -236,14 +285,7 @@ def find_passages(index: DataFrame, benchmark: DataFrame, slop: int = 0, id_colu
     for k in range(passes):
         part = different.filter(F.pmod("window", F.lit(passes)) == k) if passes > 1 else different
         phrases = {r["window"]: [bytes(w) for w in r["words"]] for r in part.collect()}
-        counts = term_frequencies(index, frozenset(t for words in phrases.values() for t in words)) if phrases else {}
-        by_rarest: dict[bytes, list] = {}
-        for window, words in phrases.items():
-            if all(t in counts for t in words):
-                ranked = sorted(((t, o) for o, t in enumerate(words)), key=lambda x: (counts[x[0]], x[1]))
-                by_rarest.setdefault(ranked[0][0], []).append((window, ranked))
-        vocabulary = frozenset(t for own in by_rarest.values() for _, phrase in own for t, _ in phrase)
-        hits = index.mapInArrow(_hits(spark.sparkContext.broadcast((by_rarest, vocabulary)), slop, k == 0), HITS)
+        hits = index.mapInArrow(_hits(spark.sparkContext.broadcast(coded_windows(phrases)), slop, k == 0), HITS)
         found = hits if found is None else found.unionByName(hits)
     key = ["block", "ordinal"]
     if passes > 1:
